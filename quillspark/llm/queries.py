@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, lang_id, packing, quality, substring_dedup, token_count, topk
+from . import chat_format, decontaminate, html_extract, lang_id, near_dup, packing, quality, substring_dedup, token_count, topk
 from ._common import table
 
 
@@ -39,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk_ball_tree": op3_topk_ball_tree,
     "op4_chat_format": op4_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_bayes": op8_quality_bayes,
     "op9_best_fit_packing": op9_best_fit_packing,
