@@ -1,8 +1,8 @@
 """Quality and toxicity with hierarchical empirical Bayes.
 
-1. Evidence of a document: words with a significant log-odds ratio (Dirichlet
-   prior, z-score) for each label and shape statistics of the whole text, joined
-   by a logistic regression.
+1. Evidence of a document: words that tell a label (signed root of the likelihood
+   ratio of the document counts) and shape statistics of the whole text, joined by
+   a logistic regression.
 2. Sites: the documents' probabilities are summed by path and host in grouped
    aggregations; a host's rate is shrunk toward the global rate and a path's
    toward its host's, each with a prior weight from the method of moments, so
@@ -11,7 +11,8 @@
    ``site_weight``.
 
 The classifier is fitted on a bounded sample: at most ``max_labelled`` labelled
-rows by hash order, one half for the words, the other for the regression.
+rows by hash order, one half for the words, the other for the regression.  Of the
+words at most ``max_words`` a label, the most telling ones, make the model.
 
 Defined results: a null or empty text has the evidence of the empty text and is
 not kept; null hosts and paths are sites of their own; without labelled rows of
@@ -30,18 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
-from .decontaminate import normal_words
+from .decontaminate import _WORD_BYTES
+from .substring_dedup import word_hashes
 
-BUCKETS = 1 << 18
 LABELS = ("quality", "toxic")
 EVIDENCE_DDL = "quality double, toxic double"
-_MIN_Z = 3.5
+_MIN_ROOT = 4.0
+_MAX_ROOT = 30.0
 
 
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    from zlib import crc32
-
-    return np.fromiter((crc32(w) for w in words), np.int64, len(words)) & (BUCKETS - 1)
+def _words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """The normalised words and the hashes of the distinct ones."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+    return raw.split(), np.unique(word_hashes(raw)).view(np.int64)
 
 
 def shape(text: str, words: list[bytes]) -> list[float]:
@@ -65,53 +67,70 @@ def shape(text: str, words: list[bytes]) -> list[float]:
 
 @dataclass
 class Model:
-    weights: dict[str, dict[int, float]]  # significant words
+    words: dict[str, tuple[np.ndarray, np.ndarray]]  # sorted hashes, roots
     coef: dict[str, np.ndarray]
     mean: np.ndarray
     scale: np.ndarray
 
     def features(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        words = normal_words(text)
-        hashed = set(_hash_words(words).tolist())
+        words, hashed = _words(text)
         extra = []
         for k in LABELS:
-            own = [w for h in hashed if (w := self.weights[k].get(h))]
-            up, down = sum(x for x in own if x > 0), -sum(x for x in own if x < 0)
-            extra += [min(6.0, up), min(6.0, down), np.log1p(up), np.log1p(down)]
-        return np.array(shape(text, words) + extra)
+            known, roots = self.words[k]
+            own = np.zeros(0)
+            if len(known) and len(hashed):
+                at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+                own = roots[at[known[at] == hashed]]
+            up, down = np.sort(own[own > 0])[::-1], np.sort(-own[own < 0])[::-1]
+            extra += [min(_MAX_ROOT, x[i]) if len(x) > i else 0.0 for x in (up, down) for i in (0, 1)]
+            extra += [np.log1p(up.sum()), np.log1p(down.sum())]
+        return np.array(shape(text or "", words) + extra)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         return np.stack([np.clip(z @ self.coef[k][1:] + self.coef[k][0], -12, 12) for k in LABELS], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> Model:
+def _telling_words(counts: DataFrame, label: str, n_pos: int, n_neg: int, max_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose document counts differ by label, with the signed root of the likelihood ratio."""
+    if not n_pos or not n_neg:
+        return np.zeros(0, np.int64), np.zeros(0)
+    a, b = F.col(label) + 0.5, F.col("n") - F.col(label) + 0.5
+    share = lambda x, n: x * F.log(x * (n_pos + n_neg) / ((a + b) * n))
+    root = F.signum(a * n_neg - b * n_pos) * F.sqrt(F.greatest(F.lit(0.0), 2 * (share(a, n_pos) + share(b, n_neg))))
+    rows = counts.select("word", root.alias("root")).where(F.abs("root") >= _MIN_ROOT).orderBy(F.abs("root").desc(), "word").limit(max_words).collect()
+    words, roots = np.array([r.word for r in rows], np.int64), np.array([r.root for r in rows], float)
+    order = np.argsort(words)
+    return words[order], roots[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_words: int = 20_000) -> Model:
     spark = docs.sparkSession
-    chosen = labels.where("quality is not null and toxic is not null").select(F.col(id_col).alias("id"), "quality", "toxic").orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()
-    empty = Model({k: {} for k in LABELS}, {k: np.zeros(1) for k in LABELS}, np.zeros(0), np.ones(0))
-    n_feat = len(empty.features(""))
-    empty.mean, empty.scale = np.zeros(n_feat), np.ones(n_feat)
-    empty.coef = {k: np.zeros(n_feat + 1) for k in LABELS}
+    usable = labels.where("quality is not null and toxic is not null")
+    chosen = usable.select(F.col(id_col).alias("id"), "quality", "toxic").orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    model = Model({k: none for k in LABELS}, {}, np.zeros(0), np.ones(0))
+    n_features = len(model.features(""))
+    model.mean, model.scale = np.zeros(n_features), np.ones(n_features)
+    model.coef = {k: np.zeros(n_features + 1) for k in LABELS}
     if not chosen:
-        return empty
+        return model
     # bounded by max_labelled
     small = spark.createDataFrame([(r.id, int(r.quality), int(r.toxic), i % 2) for i, r in enumerate(chosen)], "id long, quality int, toxic int, half int")
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").select("text", "quality", "toxic", "half")
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((4, BUCKETS), np.int32)
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text, q, t in zip(frame["text"], frame["quality"], frame["toxic"], strict=True):
-                if text:
-                    table[2 * q + t][np.unique(_hash_words(normal_words(text)))] += 1
-        kind, bucket = np.nonzero(table)
-        yield pd.DataFrame({"kind": kind.astype(np.int32), "bucket": bucket.astype(np.int32), "n": table[kind, bucket].astype(np.int64)})
+            own = [_words(t)[1] for t in frame["text"]]
+            sizes = [len(w) for w in own]
+            if sum(sizes):
+                yield pd.DataFrame({"word": np.concatenate(own), "quality": np.repeat(frame["quality"].to_numpy(np.int64), sizes), "toxic": np.repeat(frame["toxic"].to_numpy(np.int64), sizes)})
 
-    counts = labelled.where("half = 0").mapInPandas(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((4, BUCKETS))
-    table[counts["kind"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    model = Model({"quality": _significant(table[2] + table[3], table[0] + table[1]), "toxic": _significant(table[1] + table[3], table[0] + table[2])}, empty.coef, empty.mean, empty.scale)
+    first = labelled.where("half = 0")
+    counts = first.mapInPandas(words, "word long, quality long, toxic long").groupBy("word").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).where("n >= 3")
+    counts = materialize(counts)
+    total = first.agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("quality"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    model.words = {k: _telling_words(counts, k, total[k], total.n - total[k], max_words) for k in LABELS}
 
     shared = spark.sparkContext.broadcast(model)
 
@@ -128,18 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
-def _significant(pos: np.ndarray, neg: np.ndarray) -> dict[int, float]:
-    total = pos + neg
-    if not pos.sum() or not neg.sum():
-        return {}
-    prior = 0.5 * total / max(1.0, total.sum()) * 1000 + 0.01
-    a, b = pos + prior, neg + prior
-    delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    z = delta / np.sqrt(1 / a + 1 / b)
-    found = np.flatnonzero((np.abs(z) >= _MIN_Z) & (total >= 3))
-    return {int(i): float(delta[i]) for i in found}
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], ridge)
