@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, lang_id, near_dup, packing, substring_dedup
 from quillspark.llm._common import materialize, table
+from quillspark.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5
@@ -30,12 +31,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     found = lang_id.fit_and_identify(docs.select(*COLUMNS))
     kept = found.where((F.col("language.lang_pred") != lang_id.UND) & (F.col("language.score") >= LEAST_SHARE))
     return kept.select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     classes = near_dup.near_duplicates(docs.select("doc_id", "text"))
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
     one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
@@ -43,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     found = substring_dedup.remove_repeats(docs.select(*COLUMNS))
     kept = found.where("dedup.n_words > dedup.n_removed")
     cut = F.col("dedup.n_removed") > 0
@@ -56,11 +60,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     found = decontaminate.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contamination.contaminated")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
