@@ -76,7 +76,7 @@ class Run:
                         rows.append((None, f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=["value", "error"])
 
-        done = df.withColumn("_r", call(F.col(input_col)))
+        done = df.withColumn("_r", call.asNondeterministic()(F.col(input_col)))  # never evaluated twice
         return done.select(*df.columns, F.col("_r.value").alias(output_col), F.col("_r.error").alias("error"))
 
 
@@ -281,7 +281,7 @@ class ChatRun(Run):
                 yield pd.Series([r if isinstance(r, str) else r.get("content") for r in replies])
 
         ready = df.withColumn("_m", chat.coerce_messages(F.col(messages_col), self.system_prompt))
-        said = ready.withColumn("_reply", call(F.col("_m")))
+        said = ready.withColumn("_reply", call.asNondeterministic()(F.col("_m")))
         out = F.concat(F.col("_m"), F.array(chat.message("assistant", F.col("_reply"))))
         return said.withColumn(output_col, out).drop("_m", "_reply")
 

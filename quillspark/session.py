@@ -10,10 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+# Spark's defaults, and what replaces them: texts of many kB make large batches, of
+# which a Python worker holds several forms at once.
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that functions in
-    it can be unpickled there however the driver found it."""
+    it can be unpickled there however the driver found it; and bound the batches
+    that Python workers get, where the session still has Spark's defaults."""
     sc = spark.sparkContext
+    for key, default, own in _BATCHES:
+        if spark.conf.get(key).rstrip("b") == str(default):
+            spark.conf.set(key, str(own))
     if getattr(sc, "_quillspark_shipped", False):
         return
     root = Path(__file__).resolve().parent
