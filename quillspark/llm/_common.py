@@ -1,4 +1,8 @@
-"""Helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage.
+
+Their Python functions are marked as not deterministic, though they are: Catalyst
+then never copies a call into a filter below it, so each text is processed once.
+"""
 
 from __future__ import annotations
 

@@ -222,7 +222,7 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", out: str = "text")
         for batch in batches:
             yield pa.array([main_text(x.as_py()) for x in batch], pa.string())
 
-    return pages.withColumn(out, extract(F.col(html_col)))
+    return pages.withColumn(out, extract.asNondeterministic()(F.col(html_col)))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ The model is fitted on a bounded sample of labelled rows: for each language abou
 are made by the executors and summed.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and
-no spans; a word in a script that no language uses is neutral; ties between
-languages go to the first by name; repeated rows each get their own result; with
+no spans; a word in a script that no language uses is neutral and its letters
+count for none; ties between languages go to the first by name; repeated rows each get their own result; with
 no labelled row every text is ``und``.  Memory grows with the words of one text,
 not with a batch.
 """
@@ -66,7 +66,8 @@ _NAMES = [*SCRIPTS, "Other"]
 _OTHER = len(_NAMES)
 _TABLE = 0x20000
 _FORBIDDEN = -50.0
-_GROUP_CHARS = 1 << 20
+_GROUP_CHARS = 1 << 19
+_VITERBI_CELLS = 400_000
 _tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -127,10 +128,14 @@ class Model:
     langs: list[str]
     logp: np.ndarray  # buckets x languages
     forbidden: np.ndarray  # scripts x languages: penalty a word
+    neutral: np.ndarray  # scripts that no language uses
 
     def scores(self, words: Words) -> np.ndarray:
         s = np.add.reduceat(self.logp[words.trigrams], words.offsets, axis=0).astype(np.float64)
-        return s + self.forbidden[np.maximum(words.script, 0)]
+        script = np.maximum(words.script, 0)
+        s += self.forbidden[script]
+        s[self.neutral[script]] = 0.0
+        return s
 
 
 def _groups(texts: list[str | None]) -> Iterator[list[int]]:
@@ -192,20 +197,20 @@ def constant_path(scores: np.ndarray, penalty: float) -> int | None:
 
 def label(texts: list[str | None], model: Model, penalty: float) -> list[dict]:
     out: list[dict] = [{"lang_pred": UND, "score": 0.0, "starts": [], "ends": [], "langs": []} for _ in texts]
-    mixed: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    mixed: list[tuple] = []
     pending = 0
 
-    def put(i: int, path, starts, ends) -> None:
-        letters = np.bincount(path, weights=ends - starts, minlength=len(model.langs))
+    def put(i: int, path, starts, ends, told) -> None:
+        letters = np.bincount(path, weights=(ends - starts) * told, minlength=len(model.langs))
         cut = np.flatnonzero(np.diff(path)) + 1
         first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(path)])) - 1
         top = int(letters.argmax())
-        out[i] = {"lang_pred": model.langs[top], "score": float(letters[top] / letters.sum()), "starts": starts[first].tolist(), "ends": ends[last].tolist(), "langs": [model.langs[x] for x in path[first]]}
+        out[i] = {"lang_pred": model.langs[top], "score": float(letters[top] / (ends - starts).sum()), "starts": starts[first].tolist(), "ends": ends[last].tolist(), "langs": [model.langs[x] for x in path[first]]}
 
     def resolve() -> None:
         if mixed:
-            for (i, _, starts, ends), path in zip(mixed, viterbi([m[1] for m in mixed], penalty), strict=True):
-                put(i, path, starts, ends)
+            for (i, _, *own), path in zip(mixed, viterbi([m[1] for m in mixed], penalty), strict=True):
+                put(i, path, *own)
             mixed.clear()
 
     if not model.langs:
@@ -222,15 +227,16 @@ def label(texts: list[str | None], model: Model, penalty: float) -> list[dict]:
             own = slice(w, stop)
             if stop > w and (words.script[own] > 0).any():
                 starts, ends, s = words.starts[own] - base, words.ends[own] - base, scores[own]
+                told = ~model.neutral[np.maximum(words.script[own], 0)]
                 const = constant_path(s, penalty)
                 if const is None:
-                    mixed.append((i, s, starts, ends))
+                    mixed.append((i, s, starts, ends, told))
                     pending = max(pending, len(s))
-                    if pending * len(mixed) > 4_000_000:
+                    if pending * len(mixed) > _VITERBI_CELLS:
                         resolve()
                         pending = 0
                 else:
-                    put(i, np.full(len(s), const, np.int16), starts, ends)
+                    put(i, np.full(len(s), const, np.int16), starts, ends, told)
             base, w = end + 1, stop
     resolve()
     return out
@@ -242,7 +248,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((_OTHER + 1, 0)))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((_OTHER + 1, 0)), np.ones(_OTHER + 1, bool))
     grain = 1 << 20
     keep = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(grain, -(-grain * docs_per_language // counts[g]))))])
     sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(grain)) < F.element_at(keep, F.col(lang_col)))
@@ -270,9 +276,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     logp = np.log((grams + smoothing) / (grams.sum(0) + smoothing * BUCKETS)).astype(np.float32)
     used = scripts >= np.maximum(1, 0.005 * scripts.sum(0))
     forbidden = np.where(used, 0.0, _FORBIDDEN)
-    forbidden[~used.any(1)] = 0.0
-    forbidden[0] = 0.0
-    return Model(langs, logp, forbidden)
+    neutral = ~used.any(1)
+    neutral[0] = True  # marks alone
+    return Model(langs, logp, forbidden, neutral)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -289,7 +295,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch_pe
         for batch in batches:
             yield pa.array(label(batch.to_pylist(), shared.value, switch_penalty), _RESULT)
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
 
 def fit_and_identify(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,19 +102,20 @@ def pack_documents(
     n_rows = docs.count() if n_rows is None else n_rows
     shards = max(1, -(-n_rows // shard_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("n")).where("n > 0")
-    # repeated ids are spread by their place in the task, so no id can fill a shard
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int"))
+    fields = [c.split() for c in PACKED_DDL.split(", ")]
+    schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for c, t in fields])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        shard = int(part["shard"].iloc[0])
-        ids, ns = part["doc_id"].to_list(), part["n"].to_list()
-        pieces = sorted((-min(top, n - k), i if i is not None and i == i else -1, k, j) for j, (i, n) in enumerate(zip(ids, ns, strict=True)) for k in range(0, n, top))
+    def run(part: pa.Table) -> pa.Table:
+        shard = part["shard"][0].as_py()
+        ids, ns = part["doc_id"].to_pylist(), part["n"].to_pylist()
+        pieces = sorted((-min(top, n - k), -1 if i is None else i, k, j) for j, (i, n) in enumerate(zip(ids, ns, strict=True)) for k in range(0, n, top))
         where, used, final = pack([-p[0] for p in pieces], sizes, overhead)
         fill = [0] * len(used)
         out = []
         for (neg, _, k, j), b in zip(pieces, where, strict=True):
             out.append((f"{shard}-{b}", final[b], used[b], ids[j], k // top, k, fill[b], -neg))
             fill[b] -= neg
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED_DDL.split(", ")])
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.groupBy("shard").applyInPandas(run, PACKED_DDL)
+    return rows.groupBy("shard").applyInArrow(run, PACKED_DDL)

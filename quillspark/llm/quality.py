@@ -36,6 +36,8 @@ from .substring_dedup import word_hashes
 
 LABELS = ("quality", "toxic")
 EVIDENCE_DDL = "quality double, toxic double"
+#: Sites up to this number (about 5 MB) are broadcast.
+MAX_BROADCAST_SITES = 50_000
 _MIN_ROOT = 4.0
 _MAX_ROOT = 30.0
 
@@ -176,7 +178,7 @@ def evidence(docs: DataFrame, model: Model, *, text_col: str = "text", out: str
             else:
                 yield pa.array([], kind)
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
 
 def _logit(p: Column) -> Column:
@@ -221,7 +223,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     scored = materialize(evidence(rows, model).select("doc_id", "host", "path", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), *[F.col(f"evidence.{k}").alias(k) for k in LABELS]))
     out = scored
     for k in LABELS:
-        rates = site_rates(scored, k).withColumnsRenamed({"host": "h_", "path": "p_"})
+        rates = materialize(site_rates(scored, k).withColumnsRenamed({"host": "h_", "path": "p_"}))
+        if rates.count() <= MAX_BROADCAST_SITES:  # else by a shuffle, in which Spark splits hot sites
+            rates = F.broadcast(rates)
         out = out.join(rates, out.host.eqNullSafe(F.col("h_")) & out.path.eqNullSafe(F.col("p_"))).drop("h_", "p_")
         out = out.withColumn(f"p_{k}", 1 / (1 + F.exp(-(F.col(k) + site_weight * F.col(f"{k}_shift")))))
     return out.select("doc_id", "host", "path", "p_quality", "p_toxic", "quality_rate", "toxic_rate", (F.col("has_text") & (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"))

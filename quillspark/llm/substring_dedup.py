@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("anchor", "window", "d0")
     parts = single.join(least, ["anchor", "window"]).where("doc_id > d0").select("doc_id", "anchor", "path", "lost")
 
-    losses = whole.unionByName(others).unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "path", "lost")).alias("losses")).withColumnRenamed("doc_id", "_lost_id")
+    losses = whole.unionByName(others).unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "path", "lost")).alias("_qs_losses")).withColumnRenamed("doc_id", "_qs_lost_id")
 
     @F.arrow_udf(RESULT_DDL)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -259,8 +259,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for text, lost in batches:
             yield pa.array([_cut_text(t, x.as_py(), window, kmer) for t, x in zip(text, lost, strict=True)], kind)
 
-    joined = docs.join(losses, docs[id_col].cast("long") == F.col("_lost_id"), "left")
-    return joined.withColumn(out, cut(F.col(text_col), F.col("losses"))).drop("_lost_id", "losses")
+    joined = docs.join(losses, docs[id_col].cast("long") == F.col("_qs_lost_id"), "left")
+    return joined.withColumn(out, cut.asNondeterministic()(F.col(text_col), F.col("_qs_losses"))).drop("_qs_lost_id", "_qs_losses")
 
 
 def digest(docs: DataFrame) -> DataFrame:

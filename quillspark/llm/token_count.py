@@ -184,7 +184,7 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", edits: Column | Non
                 rows.append({"n_tokens": before, "n_tokens_edited": tree.n_tokens, "n_leaves": len(tree.leaves), "n_reencoded_chars": tree.encoded, "leaf_chars": [len(x) for x in tree.leaves], "leaf_tokens": tree.tokens()})
             yield pa.array(rows, _RESULT)
 
-    return docs.withColumn(out, run(F.col(text_col), edits))
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col), edits))
 
 
 def gather_edits(edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

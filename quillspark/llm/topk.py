@@ -13,8 +13,8 @@ In a first round every query searches its shard of largest bound; the k-th score
 it finds goes along to the second round, for which only the shards are kept whose
 bound reaches it.
 
-Defined results: vectors that are null, empty or hold null, NaN or infinite
-components take no part; query and candidate must have the same number of
+Defined results: rows without an id, and vectors that are null, empty or hold
+null, NaN or infinite components, take no part; query and candidate must have the same number of
 components; ties go to the smaller id; equal rows of one id count once for each
 row; a query with no candidate gives no row.  Scores are exact integers; one
 beyond 64 bits is returned as the nearest 64-bit value.
