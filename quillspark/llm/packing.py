@@ -102,7 +102,10 @@ def pack_documents(
     n_rows = docs.count() if n_rows is None else n_rows
     shards = max(1, -(-n_rows // shard_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("n")).where("n > 0")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int"))
+    # repeated rows are counted first and numbered, so that they spread over shards, too
+    equal = rows.groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
+    rows = equal.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = rows.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "copy"), F.lit(shards)).cast("int").alias("shard"))
     fields = [c.split() for c in PACKED_DDL.split(", ")]
     schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for c, t in fields])
 
