@@ -86,6 +86,16 @@ def format_usage(usage: Column) -> Column:
     return F.concat(F.lit("[tokens] in="), n(USAGE[0]), F.lit(" | out="), n(USAGE[1]), F.lit(" | total="), n(USAGE[2]))
 
 
+def generate_run_id(data: dict[str, Any]) -> str:
+    """A run id that depends on the values alone."""
+    import json
+    import uuid
+
+    from .text import ID_NAMESPACE
+
+    return str(uuid.uuid5(uuid.UUID(ID_NAMESPACE), json.dumps(data, sort_keys=True)))
+
+
 def run_ids(config: Any, n: int | None = None) -> Any:
     """The run id of a config dict; with ``n``, one for each of ``n`` calls."""
     if n is None:

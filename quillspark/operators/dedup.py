@@ -39,17 +39,23 @@ def deduplicate(df: DataFrame, meta: Metadata, *, content: str | None = "page_co
     return first
 
 
+def duplicate_content_members(df: DataFrame, *, content: str = "page_content") -> DataFrame:
+    """first (place of the group's first row), _ord, id: one row for each row whose
+    content occurs more than once; nothing is gathered, so groups may be of any size."""
+    keyed = df.select("id", ORD, F.unhex(F.sha2(F.encode(F.coalesce(F.col(content), F.lit("")), "UTF-8"), 256)).alias("_key"))
+    groups = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.min(ORD).alias("first")).where("_n > 1")
+    return keyed.join(groups, "_key").select("first", ORD, "id")
+
+
 def duplicate_content_groups(df: DataFrame, *, content: str = "page_content") -> DataFrame:
     """ids (array, in order) and first (the group's first place) of each content
     that occurs more than once; NULL ids are kept.
 
-    Only rows whose content repeats reach the second grouping; a group is one row
-    by contract.
+    A group is one row by contract; :func:`duplicate_content_members` has no such
+    bound.
     """
-    keyed = df.select("id", ORD, F.unhex(F.sha2(F.encode(F.coalesce(F.col(content), F.lit("")), "UTF-8"), 256)).alias("_key"))
-    counted = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = keyed.join(counted, "_key").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(ORD, "id"))).alias("_rows"))
-    return rows.select(F.transform("_rows", lambda r: r["id"]).alias("ids"), F.element_at("_rows", 1)[ORD].alias("first")).orderBy("first")
+    rows = duplicate_content_members(df, content=content).groupBy("first").agg(F.array_sort(F.collect_list(F.struct(ORD, "id"))).alias("_rows"))
+    return rows.select(F.transform("_rows", lambda r: r["id"]).alias("ids"), "first").orderBy("first")
 
 
 def consistency_violations(df: DataFrame, meta: Metadata, *, content: str = "page_content") -> DataFrame:

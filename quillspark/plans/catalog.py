@@ -373,6 +373,11 @@ def duplicate_content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_content_groups(docs(spark, sf_dir)).select(F.array_join("ids", ",").alias("ids"), "first")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1")
+def duplicate_content_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_content_members(docs(spark, sf_dir)).select("id", "first")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, 2::BIGINT AS n_variants FROM documents WHERE doc_id % 50 = 3")
 def consistency_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and a copy in which the ids 3, 53, ... have another content."""

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 # Spark's defaults, and what replaces them: texts of many kB make large batches, of
 # which a Python worker holds several forms at once.
-_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20))
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20))
 
 
 def ship_package(spark: SparkSession) -> None:

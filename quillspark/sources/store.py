@@ -50,7 +50,8 @@ def _ddl(kind: str) -> str:
 
 
 class StoreTable:
-    """Use :meth:`open` or :meth:`in_memory`; a context manager."""
+    """Use :meth:`open` or :meth:`in_memory`; a context manager.  ``n_buckets`` holds
+    for a store's life: choose it so that a bucket stays at about a GB."""
 
     def __init__(self, spark: SparkSession, path: str, *, kind: str = "document", metadata_schema: Mapping[str, str] | None = None, n_buckets: int = 16, read_only: bool = False) -> None:
         if kind not in ("document", "record"):
@@ -144,9 +145,6 @@ class StoreTable:
         return rows.select(*self.columns)
 
     # -- rows --------------------------------------------------------------
-    def _meta(self) -> Metadata:
-        return Metadata.json("metadata")
-
     def _shape(self, df: DataFrame) -> DataFrame:
         """Input rows in the store's columns.  Untyped input may bring ``metadata``
         (JSON text) or plain columns; typed input plain columns, of which the

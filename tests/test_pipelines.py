@@ -12,7 +12,7 @@ from quillspark import report
 from quillspark.functions import chat, json_repair
 from quillspark.model import Metadata
 from quillspark.operators import profile, stats
-from quillspark.plans import config, pipeline, runs
+from quillspark.plans import agents, config, pipeline, runs
 from quillspark.sources import fake, ingest
 from quillspark.sources.store import StoreTable
 from quillspark.streaming import incremental
@@ -198,6 +198,27 @@ def test_pairs_and_chat_runs(spark):
             chat.coerce_value(bad)
 
 
+def test_agents_from_configs(spark):
+    calls = []
+    known = pipeline.Registry()
+    known.register("model.echo", lambda prefix="": lambda ms, **kw: calls.append(kw) or prefix + ms[-1]["content"])
+    conf = config.AgentConfig(model=config.ModelConfig.from_kwargs(model="echo", prefix="> "), system_prompt="s")
+    plain = agents.AgentFactory(conf, known)
+    assert plain.make().invoke("hi")["messages"][-1] == {"role": "assistant", "content": "> hi"}
+    cached = agents.CachingAgentFactory(plain).make()
+    assert cached.invoke("a") == cached.invoke("a") and len(calls) == 2
+    store = StoreTable.in_memory(spark, kind="record")
+    agents.RecordingAgentFactory(plain, store, config=conf).make().invoke("x")
+    assert json.loads(store.all().first().metadata)["config_key"] == conf.cache_key()
+    model = agents.CachingModel(lambda ms, **kw: calls.append(kw) or len(calls))
+    m = [{"role": "user", "content": "q"}]
+    assert model(m) == model(m) != model(m, stop=["x"]) and model.bind(tools=["t"])(m) != model(m)
+    with pytest.raises(TypeError):
+        agents.AgentFactory(config.AgentConfig(), known).make()
+    assert runs.default_serialize({"a": (Point(1, 2), [Company("t")])}) == {"a": [{"x": 1, "y": 2}, [{"ticker": "t", "cik": None}]]}
+    assert chat.generate_run_id({"b": 1, "a": 2}) == chat.generate_run_id({"a": 2, "b": 1}) != chat.generate_run_id({})
+
+
 def test_usage(spark):
     result = {"messages": [{"usage_metadata": {"input_tokens": 3, "output_tokens": 2, "total_tokens": 9}}, {"x": [{"usage_metadata": {"input_tokens": 1}}]}]}
     assert chat.find_usage(result) == {"input_tokens": 4, "output_tokens": 2, "total_tokens": 9}
