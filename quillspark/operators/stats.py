@@ -88,7 +88,7 @@ def stats_of_histogram(hist: DataFrame, *, by: list[str] | None = None) -> DataF
 def _with_ids(stats: DataFrame, df: DataFrame) -> DataFrame:
     """Ids of the extreme rows: a scan of two columns against at most two rows a group."""
     ids = df.select("id", ORD)
-    low = F.broadcast(stats.select(F.col("_min_ord").alias("_o")).union(stats.select("_max_ord")).distinct())
+    low = stats.select(F.col("_min_ord").alias("_o")).union(stats.select("_max_ord")).distinct()
     found = ids.join(low, ids[ORD] == low["_o"]).select(ORD, "id")
     names = stats.columns
     a = found.select(F.col(ORD).alias("_min_ord"), F.col("id").alias("min_doc_id"))
@@ -147,7 +147,7 @@ class ExactContentStats:
     def update(self, df: DataFrame) -> ExactContentStats:
         import uuid
 
-        from ..session import shared_dir
+        from ..session import scratch_dir
 
         body = F.coalesce(F.col(self.content), F.lit(""))
         rows = df.select(F.col(ORD) + F.lit(self._rows), F.col("id"), F.length(body).alias("len"), F.unhex(F.sha2(F.encode(body, "UTF-8"), 256)).alias("_sha"), *_flagged(df, self.meta, self.content)).toDF("first", "id", "len", "_sha", *_FLAGS)
@@ -155,7 +155,7 @@ class ExactContentStats:
         if self._state is not None:
             both = self._state.unionByName(new)
             new = both.groupBy("len", "_sha").agg(F.sum("n").alias("n"), F.min_by("id", "first").alias("id"), F.min("first").alias("first"), *[F.sum(f).alias(f) for f in _FLAGS])
-        path = f"{shared_dir(df.sparkSession)}/quillspark/{uuid.uuid4().hex}"
+        path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
         new.write.parquet(path)
         self._state = df.sparkSession.read.schema(new.schema).parquet(path)
         top = df.agg(F.max(ORD)).first()[0]

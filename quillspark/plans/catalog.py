@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, json_repair, text
 from ..model import ORD, Metadata, as_documents
 from ..operators import dedup, filters, formatting, frames, ordering, profile, stats, vectors
-from ..session import shared_dir, ship_package
+from ..session import scratch_dir, ship_package
 from ..sources import ingest
 from ..sources.store import StoreTable
 from ..streaming import incremental
@@ -654,14 +654,14 @@ def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/quillspark/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     return spark.readStream.schema(rows.schema).parquet(folder).withColumnsRenamed({"text": "page_content"})
 
 
 def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream that has come to its end, as a table in the shared folder."""
-    base = f"{shared_dir(spark)}/quillspark/sink-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
@@ -692,7 +692,7 @@ def stream_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StoreTable.in_memory(spark)
     rows = _stream(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "page_content", "lang", F.col("doc_id").alias(ORD))
-    incremental.stream_to_store(rows, store, f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}").awaitTermination()
+    incremental.stream_to_store(rows, store, f"{scratch_dir(spark)}/{uuid.uuid4().hex}").awaitTermination()
     return store.all().select("id")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat, json_repair
-from ..session import shared_dir, ship_package
+from ..session import scratch_dir, ship_package
 
 U = TypeVar("U")
 V = TypeVar("V")
@@ -101,7 +101,7 @@ class CacheTable:
     """key, value as append-only Parquet; the oldest entry of a key counts."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/quillspark/cache-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{scratch_dir(spark)}/cache-{uuid.uuid4().hex}"
         self.written = False
 
     def rows(self) -> DataFrame:
@@ -234,7 +234,7 @@ class RecordingRun(Run):
     def transform(self, df: DataFrame, input_col: str, *, output_col: str = "output", run_id: str | None = None) -> DataFrame:
         """Calls over a column; one record a row is added to the store."""
         done = self.run.transform(df, input_col, output_col=output_col)
-        path = f"{shared_dir(df.sparkSession)}/quillspark/{uuid.uuid4().hex}"
+        path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
         done.write.parquet(path)  # calls are made once, though rows go to the store and to the caller
         done = df.sparkSession.read.schema(done.schema).parquet(path)
         fields = [F.col(input_col).alias("input"), F.col(output_col).alias("output"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), F.lit(run_id).alias("run_id"), F.col("error")]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one, for intermediate tables; it is
+    deleted when the driver's Python ends."""
+    sc = spark.sparkContext
+    found = getattr(sc, "_quillspark_scratch", None)
+    if found is None:
+        found = sc._quillspark_scratch = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                path = sc._jvm.org.apache.hadoop.fs.Path(found)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(clear)
+    return found

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import ORD, Metadata
-from ..session import shared_dir
+from ..session import scratch_dir
 
 # Column type names of the declared schema and what they become.
 COLUMN_TYPES = {
@@ -81,7 +81,7 @@ class StoreTable:
     @classmethod
     def in_memory(cls, spark: SparkSession, **options: Any) -> StoreTable:
         """A store of its own in the shared scratch folder, cleared on close."""
-        store = cls(spark, f"{shared_dir(spark)}/quillspark/store-{uuid.uuid4().hex}", **options)
+        store = cls(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", **options)
         store._ephemeral = True
         return store
 
