@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir, ship_package
+from ..session import scratch_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut
     and the rows survive the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -53,7 +53,7 @@ _WORDS = frozenset(
     " cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations"
     " comment comments commentlist respond disqus reply replies discussion widget widgets toolbar pagination pager login teaser copyright paywall disclaimer alert".split()
 )
-_PREFIX = re.compile(r"(?:comment|advert|sponsor|cookie|newsletter|breadcrumb|sidebar|subscri|navbar|pagination)")
+_PREFIX = re.compile(r"(?:comment|advert|adsby|sponsor|cookie|newsletter|breadcrumb|sidebar|subscri|navbar|pagination)")
 _REMARKS = re.compile(r"(?:comment|respond|disqus|repl(?:y|ies)$|discussion)")
 _MAIN_WORDS = frozenset("article articlebody story storybody post entry content main maincontent".split())
 _MAIN, _SECOND, _NONE = 2, 1, 0
@@ -87,7 +87,7 @@ class _Lines:
             if text:
                 self.texts.append(text)
                 self.levels.append(self.level)
-                self.sizes.append(0 if 2 * self.linked > len(text) and not self.heading and self.level != _MAIN else len(text))
+                self.sizes.append(0 if 2 * self.linked > len(text) and not self.heading and self.level == _NONE else len(text))
             self.parts.clear()
         self.linked = 0
 
@@ -131,9 +131,9 @@ class _Lines:
                 skip = 2 if level == _MAIN else 1
             elif tag not in ("html", "body", "main", *_HEADINGS) and any(w in _WORDS or _PREFIX.match(w) for w in words) and not (level != _NONE and "header" in words and not any(w in _WORDS and w != "header" for w in words)):
                 skip = 1
-            elif level == _NONE and listed and any(w in _MAIN_WORDS for w in words):
+            elif level == _NONE and listed and tag not in ("html", "body") and any(w in _MAIN_WORDS for w in words):
                 level = _SECOND
-        if skip and not self.skip:
+        if skip and not self.skip and tag in _BLOCK:
             self.flush()
             self.gap()
         if listed or skip != self.skip or level != self.level:
@@ -158,8 +158,8 @@ class _Lines:
                 return
 
     def pop(self) -> None:
-        _, skip, level = self.stack.pop()
-        if self.skip != skip or self.level != level:
+        tag, skip, level = self.stack.pop()
+        if tag in _BLOCK and (self.skip != skip or self.level != level):
             self.flush()
         self.skip, self.level = skip, level
 

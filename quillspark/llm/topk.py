@@ -220,12 +220,13 @@ def top_k(
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantize(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
-    sample = base.select("vec_id", "v", "dim").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    if not sample:
+    sample = base.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    offsets, values = sample.offsets.to_numpy(), sample.values.to_numpy()
     per_dim: dict[int, list] = {}
-    for r in sample:
-        per_dim.setdefault(r.dim, []).append(r.v)
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        per_dim.setdefault(int(b - a), []).append(values[a:b])
     wanted = max(1, min(max_centers, base.count() // (shard_rows // 4)))
     centers = {d: _lloyd(np.array(vs, dtype=np.float64), max(1, round(wanted * len(vs) / len(sample)))) for d, vs in per_dim.items()}
     near = _assign(spark.sparkContext.broadcast(centers))

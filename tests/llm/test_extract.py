@@ -48,6 +48,11 @@ def test_pages_without_article_use_the_distribution():
     assert main_text(page(f"<div>{links}</div><div><p>{LONG}</p></div>")) == LONG.strip()
 
 
+def test_inline_noise_does_not_split_a_block():
+    assert main_text(page('<article><p>One <span class="ad">buy</span><svg><text>x</text></svg> two <button>Go</button><a href="/l">three</a>.</p></article>')) == "One two three."
+    assert main_text(page('<div id="content"><h2>Head</h2><ul><li>a</li><li>b <a href="/">c</a></li></ul><table><tr><td>1</td></tr></table><pre>x\n y</pre></div>')) == "Head\na\nb c\n1\nx y"
+
+
 def test_surges_and_dives():
     assert html_extract.spans_of([0, 0, 100, 5, 100, 0, 0, 0, 0, 90, 0], 3, 80) == [(0, 5), (7, 10)]
     assert html_extract.spans_of([], 3, 80) == [] and html_extract.spans_of([0, 0], 3, 80) == []
