@@ -1,8 +1,8 @@
 """Content statistics, exact and approximate.
 
 Exact statistics come from a histogram: one aggregation to (length, digest) with
-counts, a second to lengths, the rest from the lengths.  Texts are read once and
-never shuffled; copies are combined before the shuffle; percentiles need a sum
+counts, a second to lengths; that small table is kept, and all figures are taken
+from it.  Texts are read once and never shuffled; copies are combined before the shuffle; percentiles need a sum
 over the distinct lengths only, not a sort of the documents.  A histogram adds up
 with another, which is what the incremental form keeps.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import ORD, Metadata
+from ..session import materialize
 
 PERCENTILES = (50, 90, 99)
 _FLAGS = ("empty_count", "whitespace_only_count", "none_or_non_str_content_count", "none_id_count", "missing_metadata_count")
@@ -100,7 +101,8 @@ def _with_ids(stats: DataFrame, df: DataFrame) -> DataFrame:
 
 def content_stats_exact(df: DataFrame, *, meta: Metadata | None = None, by: list[str] | None = None, content: str = "page_content") -> DataFrame:
     """One row (a group): the 19 exact statistics; ties of length go to the first row."""
-    hist = length_histogram(df, meta=meta, by=by, content=content)
+    # the histogram is used for the figures and for the places of the extremes
+    hist = materialize(length_histogram(df, meta=meta, by=by, content=content))
     return _with_ids(stats_of_histogram(hist, by=by), df)
 
 
@@ -145,19 +147,13 @@ class ExactContentStats:
         self._rows = 0
 
     def update(self, df: DataFrame) -> ExactContentStats:
-        import uuid
-
-        from ..session import scratch_dir
-
         body = F.coalesce(F.col(self.content), F.lit(""))
         rows = df.select(F.col(ORD) + F.lit(self._rows), F.col("id"), F.length(body).alias("len"), F.unhex(F.sha2(F.encode(body, "UTF-8"), 256)).alias("_sha"), *_flagged(df, self.meta, self.content)).toDF("first", "id", "len", "_sha", *_FLAGS)
         new = rows.groupBy("len", "_sha").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min_by("id", "first").alias("id"), *[F.sum(f).alias(f) for f in _FLAGS])
         if self._state is not None:
             both = self._state.unionByName(new)
             new = both.groupBy("len", "_sha").agg(F.sum("n").alias("n"), F.min_by("id", "first").alias("id"), F.min("first").alias("first"), *[F.sum(f).alias(f) for f in _FLAGS])
-        path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-        new.write.parquet(path)
-        self._state = df.sparkSession.read.schema(new.schema).parquet(path)
+        self._state = materialize(new)
         top = df.agg(F.max(ORD)).first()[0]
         self._rows += 0 if top is None else top + 1
         return self

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat, json_repair
-from ..session import scratch_dir, ship_package
+from ..session import materialize, scratch_dir, ship_package
 
 U = TypeVar("U")
 V = TypeVar("V")
@@ -234,9 +234,7 @@ class RecordingRun(Run):
     def transform(self, df: DataFrame, input_col: str, *, output_col: str = "output", run_id: str | None = None) -> DataFrame:
         """Calls over a column; one record a row is added to the store."""
         done = self.run.transform(df, input_col, output_col=output_col)
-        path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-        done.write.parquet(path)  # calls are made once, though rows go to the store and to the caller
-        done = df.sparkSession.read.schema(done.schema).parquet(path)
+        done = materialize(done)  # calls are made once, though rows go to the store and to the caller
         fields = [F.col(input_col).alias("input"), F.col(output_col).alias("output"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), F.lit(run_id).alias("run_id"), F.col("error")]
         fields += [F.lit(v).alias(k) for k, v in self.extra.items()]
         self.store.add(done.select(F.uuid().alias("id"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("metadata")))

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Spark's defaults, and what replaces them: texts of many kB make large batches, of
@@ -62,3 +62,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
         atexit.register(clear)
     return found
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it again: it is computed once
+    however often it is used, the lineage is cut, and the rows survive the loss of
+    executors."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
