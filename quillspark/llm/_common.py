@@ -6,23 +6,14 @@ then never copies a call into a filter below it, so each text is processed once.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_dir, ship_package
+from ..session import materialize, ship_package
+
+__all__ = ["materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be in any store that Spark reads."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage is cut
-    and the rows survive the loss of executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
