@@ -5,7 +5,8 @@ the next one's ``docs``; all but the last return the columns of ``documents``.
 What each stage decides:
 
 1. language ID: a document goes if it is undetermined (null, or no letter), or if
-   no language has at least half of its letters;
+   its language has less than a quarter of its letters, as in texts of unknown
+   scripts; texts of several known languages stay;
 2. near-dedup: of each class of near duplicates the smallest doc_id stays;
 3. substring dedup: repeated passages are cut out of the texts; a document that
    lost all of its words goes; a text that lost none stays as it is;
@@ -25,7 +26,7 @@ from quillspark.llm._common import materialize, table
 from quillspark.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.25
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
