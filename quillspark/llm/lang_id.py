@@ -67,7 +67,8 @@ _OTHER = len(_NAMES)
 _TABLE = 0x20000
 _FORBIDDEN = -50.0
 _GROUP_CHARS = 1 << 19
-_VITERBI_CELLS = 400_000
+_VITERBI_CELLS = 2_500_000
+_HELD_CHARS = 16 << 20
 _tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -242,6 +243,12 @@ def label(texts: list[str | None], model: Model, penalty: float) -> list[dict]:
     return out
 
 
+def _label_batches(held: list[list[str | None]], model: Model, penalty: float) -> Iterator[pa.Array]:
+    found = iter(label([t for own in held for t in own], model, penalty))
+    for own in held:
+        yield pa.array([next(found) for _ in own], _RESULT)
+
+
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, smoothing: float = 0.2) -> Model:
     """Fit on about ``docs_per_language`` rows of each language (all, if fewer)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -292,8 +299,15 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch_pe
 
     @F.arrow_udf(RESULT_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # several batches go through Viterbi together: its steps are as many as the
+        # longest text has words, however many texts take part
+        held: list[list[str | None]] = []
         for batch in batches:
-            yield pa.array(label(batch.to_pylist(), shared.value, switch_penalty), _RESULT)
+            held.append(batch.to_pylist())
+            if sum(len(t) for own in held for t in own if t) > _HELD_CHARS:
+                yield from _label_batches(held, shared.value, switch_penalty)
+                held = []
+        yield from _label_batches(held, shared.value, switch_penalty)
 
     return docs.withColumn(out, run.asNondeterministic()(F.col(text_col)))
 
