@@ -55,16 +55,17 @@ def sample_n(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def _extreme(df: DataFrame, size: Column, ignore_empty: bool, blank: bool, content: str) -> DataFrame:
     rows = df.where(~text.is_empty(F.col(content), treat_whitespace_as_empty=blank)) if ignore_empty else df
-    return rows.orderBy(size, F.col(ORD).asc()).limit(1)
+    # as a column of its own, else each comparison counts both texts' characters again
+    return rows.withColumn("_size", size).orderBy("_size", F.col(ORD).asc()).limit(1).drop("_size")
 
 
 def shortest_document(df: DataFrame, *, ignore_empty: bool = False, treat_whitespace_as_empty: bool = False, content: str = "page_content") -> DataFrame:
     """The shortest row, the first of equals; no row if there is none."""
-    return _extreme(df, text.length(F.col(content)).asc(), ignore_empty, treat_whitespace_as_empty, content)
+    return _extreme(df, text.length(F.col(content)), ignore_empty, treat_whitespace_as_empty, content)
 
 
 def longest_document(df: DataFrame, *, ignore_empty: bool = False, treat_whitespace_as_empty: bool = False, content: str = "page_content") -> DataFrame:
-    return _extreme(df, text.length(F.col(content)).desc(), ignore_empty, treat_whitespace_as_empty, content)
+    return _extreme(df, -text.length(F.col(content)), ignore_empty, treat_whitespace_as_empty, content)
 
 
 def document_id_lengths(df: DataFrame, *, sort: bool = False, content: str = "page_content") -> DataFrame:

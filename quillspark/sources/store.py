@@ -112,8 +112,11 @@ class StoreTable:
         latest = max((n for n in names if n.endswith(".json")), default=None)
         if latest is None:
             return None
-        raw = self.spark.read.text(f"{self.path}/_manifests/{latest}", wholetext=True).first()["value"]
-        return json.loads(raw)
+        stream = fs.open(self._fs(f"{self.path}/_manifests/{latest}")[1])
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _commit(self, manifest: dict) -> None:
         fs, p = self._fs(f"{self.path}/_manifests/{manifest['version']:012d}.json")
@@ -177,21 +180,12 @@ class StoreTable:
             extra = F.col("extra") if "extra" in df.columns else F.lit(None).cast("string")
         return df.select(F.col("id").cast("string").alias("id"), *content, *typed, extra.alias("extra"), order)
 
-    def _validated(self, rows: DataFrame) -> DataFrame:
-        bad = rows.where("id is null or id = ''").select(ORD).orderBy(ORD).limit(20).collect()
-        if bad:
-            raise ValueError(f"rows without an id, at {[r[0] for r in bad]}")
-        return rows
-
     # -- writing -----------------------------------------------------------
     def add(self, df: DataFrame) -> None:
         """Upsert; of equal ids in one batch the last row counts.  A replaced row
         keeps its place in the order."""
         self._check_open(writing=True)
-        rows = self._validated(self._shape(df))
-        latest = Window.partitionBy("id").orderBy(F.col(ORD).desc())
-        batch = rows.withColumn("_at", F.row_number().over(latest)).where("_at = 1").drop("_at")
-        self._rewrite(batch, delete=False)
+        self._rewrite(self._shape(df), delete=False)
 
     add_documents = add_records = add
 
@@ -214,20 +208,44 @@ class StoreTable:
     def _rewrite(self, batch: DataFrame, *, delete: bool) -> None:
         manifest = self._manifest() or {"version": 0, "n_buckets": self.n_buckets, "buckets": {}}
         version = manifest["version"] + 1
-        batch = batch.withColumn("_bucket", self._bucket(F.col("id")))
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(manifest["n_buckets"])).cast("int"))
         folder = f"data/{version:012d}-{uuid.uuid4().hex[:8]}"
         staged = f"{self.path}/{folder}-batch"
-        batch.write.parquet(staged)  # the batch is read twice: for its buckets and its rows
+        batch.write.parquet(staged)  # the batch is read twice: for its ids and buckets, and for its rows
         batch = self.spark.read.schema(batch.schema).parquet(staged)
-        touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())
-        old = self._rows(touched)
-        kept = old.join(batch.select("id"), "id", "left_anti").select(*self._stored.names)
+        fs, staged_path = self._fs(staged)
+        try:
+            self._write_version(manifest, version, folder, batch, delete)
+        finally:
+            fs.delete(staged_path, True)
+
+    def _write_version(self, manifest: dict, version: int, folder: str, batch: DataFrame, delete: bool) -> None:
+        facts = [F.collect_set("_bucket").alias("touched")]
+        if not delete:
+            missing = F.col("id").isNull() | (F.col("id") == "")
+            facts += [F.count_if(missing).alias("bad"), F.min(F.when(missing, F.col(ORD))).alias("first_bad")]
+        facts = batch.agg(*facts).first()
+        if not delete and facts["bad"]:
+            raise ValueError(f"{facts['bad']} rows without an id, the first at {facts['first_bad']}")
+        touched = sorted(facts["touched"])
+        known = [b for b in touched if str(b) in manifest["buckets"]]
+        old = self._rows(known) if known else None
         if delete:
-            new = kept
+            if old is None:
+                return
+            new = old.join(batch.select("id"), "id", "left_anti").select(*self._stored.names)
         else:
-            places = old.select("id", F.col("_version").alias("_v"), F.col("_place").alias("_p"))
-            placed = batch.join(places, "id", "left")
-            new = kept.unionByName(placed.select(*self.columns, F.coalesce("_v", F.lit(version).cast("long")).alias("_version"), F.coalesce("_p", F.col(ORD)).cast("long").alias("_place"), "_bucket"))
+            latest = Window.partitionBy("id").orderBy(F.col(ORD).desc())
+            batch = batch.withColumn("_at", F.row_number().over(latest)).where("_at = 1")
+            if old is None:
+                version_of, place_of = F.lit(version).cast("long"), F.col(ORD).cast("long")
+                kept = None
+            else:
+                kept = old.join(batch.select("id"), "id", "left_anti").select(*self._stored.names)
+                batch = batch.join(old.select("id", F.col("_version").alias("_v"), F.col("_place").alias("_p")), "id", "left")
+                version_of, place_of = F.coalesce("_v", F.lit(version).cast("long")), F.coalesce("_p", F.col(ORD)).cast("long")
+            new = batch.select(*self.columns, version_of.alias("_version"), place_of.alias("_place"), "_bucket")
+            new = new if kept is None else kept.unionByName(new)
         # one file a bucket and task; rows of a bucket keep their order within it
         new.withColumn("_dir", F.col("_bucket")).repartition("_bucket").sortWithinPartitions("_bucket", "_version", "_place").write.partitionBy("_dir").parquet(f"{self.path}/{folder}")
         fs, p = self._fs(f"{self.path}/{folder}")
@@ -237,8 +255,6 @@ class StoreTable:
             if f"_dir={b}" in made:
                 manifest["buckets"][str(b)] = f"{folder}/_dir={b}"
         self._commit(manifest | {"version": version})
-        fs, p = self._fs(staged)
-        fs.delete(p, True)
 
     # -- reading -----------------------------------------------------------
     def all(self, *, ordered: bool = False) -> DataFrame:
