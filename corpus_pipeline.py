@@ -7,7 +7,12 @@ What each stage decides:
 1. language ID: a document goes if it is undetermined (null, or no letter), or if
    its language has less than a quarter of its letters, as in texts of unknown
    scripts; texts of several known languages stay;
-2. near-dedup: of each class of near duplicates the smallest doc_id stays;
+2. near-dedup: classes are made of texts, and of each class one row stays, that of
+   the smallest doc_id.  So a row without an id stays if no row with an id has its
+   text or a near duplicate of it, and an id keeps each of its different texts that
+   is its class's choice.  Of several texts of that id the least hash decides, of
+   rows of one id and text the least other columns.  A text without words, or null,
+   is left alone, once for each id (a null id is one as well);
 3. substring dedup: repeated passages are cut out of the texts; a document that
    lost all of its words goes; a text that lost none stays as it is;
 4. decontamination: contaminated documents go;
@@ -40,10 +45,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    classes = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    classes = near_dup.near_duplicates(rows.select("key", "text"), id_col="key").withColumnRenamed("doc_id", "key").distinct()
+    ids = rows.select("key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    kept = classes.join(ids, "key").groupBy("class_id").agg(first.alias("kept")).select("kept.key")
+    one = rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return one.select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,3 +241,15 @@ def test_pipeline_of_odd_and_planted_rows(spark):
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {1, 7, 8}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], docs.schema), SF).count() == 0
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a, "en"), (None, a, "en"), (None, b, "en"), (1, b, "en"), (5, c, "en"), (5, d, "fr"), (5, d, "en"), (3, c + " end", "en"), (None, None, "en"), (7, "", "en"), (8, "", "en")]
+    want = {(None, a, "en"), (1, b, "en"), (5, d, "en"), (3, c + " end", "en"), (None, None, "en"), (7, "", "en"), (8, "", "en")}
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, g, None, len(t or "")) for i, t, g in own], "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+        got = [(r.doc_id, r.text, r.lang) for r in got.collect()]
+        assert len(got) == len(want) and set(got) == want
