@@ -446,6 +446,34 @@ def format_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.format_documents(ordering.first_n(docs(spark, sf_dir), 10), Metadata.columns("lang", "source"), "json")
 
 
+#: The three above are of ten documents; these format all, a hundred ids to a row.
+_PARTS = f"(SELECT *, o // 100 AS part, row_number() OVER (PARTITION BY o // 100 ORDER BY o) AS i FROM {_DOCS})"
+
+
+def _in_parts_sql(name: str) -> str:
+    return ORACLE_SQL[name].replace("SELECT ", "SELECT part, ", 1).replace(_TOP, _PARTS) + " GROUP BY part"
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, output_format: str) -> DataFrame:
+    rows = docs(spark, sf_dir).withColumn("part", F.expr(f"{ORD} div 100"))
+    return formatting.format_documents(rows, Metadata.columns("lang", "source"), output_format, by=["part"])
+
+
+@query(_in_parts_sql("format_xml"))
+def format_xml_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_parts(spark, sf_dir, "xml")
+
+
+@query(_in_parts_sql("format_markdown"))
+def format_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_parts(spark, sf_dir, "markdown")
+
+
+@query(_in_parts_sql("format_json"))
+def format_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_parts(spark, sf_dir, "json")
+
+
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
 SELECT conv_id, string_agg('<document id="' || i || '">' || chr(10) || text || chr(10) || '</document>', chr(10) || chr(10) ORDER BY i) AS text FROM t GROUP BY conv_id""")
 def format_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:

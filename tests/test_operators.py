@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text
 from quillspark.model import Metadata, with_order
 from quillspark.operators import dedup, filters, formatting, frames, ordering, profile, sketches, stats, vectors
+from quillspark.plans import catalog
 
 TYPED = Metadata.columns("category", "page")
 JSON = Metadata.json("metadata")
@@ -309,3 +310,11 @@ def test_vectors_and_frames(spark):
     assert frames.drop_null_columns(gaps).columns == ["a"] and frames.drop_null_columns(gaps.limit(0)).columns == ["a", "b"]
     chunks = frames.split_text(spark.createDataFrame([("d", "abcdefghij")], "id string, page_content string"), chunk_size=4, overlap=1).collect()
     assert [c.page_content for c in chunks] == ["abcd", "defg", "ghij"]
+
+
+@pytest.mark.parametrize("name", ["format_xml_all", "format_markdown_all", "format_json_all"])
+def test_every_document_is_formatted(spark, name):
+    sf = "/root/testdata/sf0.001"
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = "\n".join(r.text for r in catalog.QUERIES[name](spark, sf).collect())
+    assert len(texts) > 10 and all((json.dumps(t, ensure_ascii=False) if "json" in name else t) in got for t in texts)
