@@ -207,6 +207,12 @@ def id_lengths_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place(rows, "length", ORD).select("id", "length", F.col("pos").cast("long").alias("pos"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text)::INTEGER AS length, row_number() OVER (ORDER BY length(text), doc_id) AS pos FROM documents")
+def id_lengths_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, in order."""
+    return _sorted(ordering.document_id_lengths(docs(spark, sf_dir), sort=True), "length")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text) AS length FROM documents ORDER BY length(text), doc_id LIMIT 1")
 def shortest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.shortest_document(docs(spark, sf_dir)).select("id", F.length("page_content").cast("long").alias("length"))
@@ -301,14 +307,14 @@ def _sorted_sql(where: str, order: str) -> str:
     return f"SELECT id, row_number() OVER (ORDER BY {order}) AS pos FROM {_LABELLED} {where}"
 
 
-def _sorted(df: DataFrame) -> DataFrame:
+def _sorted(df: DataFrame, *also: str) -> DataFrame:
     """A sorted frame with each row's place: its partition's offset and the row within it."""
-    parts = df.select("id", F.monotonically_increasing_id().alias("_m"))
-    parts = parts.select("id", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
+    parts = df.select("id", *also, F.monotonically_increasing_id().alias("_m"))
+    parts = parts.select("id", *also, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
     counts = parts.groupBy("_p").agg(F.count("*").alias("n"))
 
     offsets = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(offsets), "_p").select("id", (F.col("_before") + F.col("_r") + 1).alias("pos"))  # one row a partition
+    return parts.join(F.broadcast(offsets), "_p").select("id", *also, (F.col("_before") + F.col("_r") + 1).alias("pos"))  # one row a partition
 
 
 @query(_sorted_sql("", "quality IS NULL, quality, o"))
@@ -562,9 +568,7 @@ def iter_batches_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- pipelines and runs ----------------------------------------------------
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 20")
-def declarative_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source and processors from one configuration; one plan."""
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = {"_target_": "metadata.columns", "_args_": ["lang", "n_chars"]}
     steps = [
         {"_target_": "processor.filter_by_metadata", "meta": meta, "key": "lang", "value": "en"},
@@ -573,7 +577,19 @@ def declarative_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     config = {"_target_": "ingestor.processor", "source": {"_target_": "ingestor.table", "path": f"{sf_dir}/documents.parquet", "order": "doc_id"}, "processor": {"_target_": "processor.sequential", "_args_": steps}}
     rows = pipeline.default_registry(spark).resolve(config, ingest.Ingestor).ingest()
-    return rows.limit(20).select(F.col("doc_id").cast("string").alias("id"), "n_chars")
+    return rows.select(F.col("doc_id").cast("string").alias("id"), "n_chars")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 20")
+def declarative_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source and processors from one configuration; one plan."""
+    return _declared(spark, sf_dir).limit(20)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE lang = 'en' AND n_chars >= 1000")
+def declarative_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the configured steps, with its place."""
+    return _sorted(_declared(spark, sf_dir), "n_chars")
 
 
 @query("SELECT doc_id, len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+')) AS n_words FROM documents WHERE lang <> 'de'")
@@ -598,15 +614,25 @@ def cache_hits_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached.transform(rows, "text").select("conv_id", "turn", "output")
 
 
-@query("SELECT text AS input, CAST(length(text) AS VARCHAR) AS output, 'yes' AS checked FROM conversations WHERE role = 'system'")
-def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recorded(spark: SparkSession, rows: DataFrame) -> DataFrame:
     store = StoreTable.in_memory(spark, kind="record")
     run = runs.RecordingRun(runs.Run(lambda s: str(len(s))), store, extra={"checked": "yes"})
-    run.transform(table(spark, sf_dir, "conversations").where("role = 'system'"), "text")
+    run.transform(rows, "text")
     field = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
     return store.all().select(field("input"), field("output"), field("checked"))
 
 
+@query("SELECT text AS input, CAST(length(text) AS VARCHAR) AS output, 'yes' AS checked FROM conversations WHERE role = 'system'")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, table(spark, sf_dir, "conversations").where("role = 'system'"))
+
+
+@query("SELECT text AS input, CAST(length(text) AS VARCHAR) AS output, 'yes' AS checked FROM conversations")
+def recorded_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all roles."""
+    return _recorded(spark, table(spark, sf_dir, "conversations"))
+
+
 @query("SELECT conv_id, turn, text AS input, length(text)::VARCHAR AS output FROM conversations")
 def input_output_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -318,3 +318,14 @@ def test_every_document_is_formatted(spark, name):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     got = "\n".join(r.text for r in catalog.QUERIES[name](spark, sf).collect())
     assert len(texts) > 10 and all((json.dumps(t, ensure_ascii=False) if "json" in name else t) in got for t in texts)
+
+
+def test_whole_tables_in_the_catalogue(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = {name: catalog.QUERIES[name](spark, sf).count() for name in ("id_lengths_sorted_all", "declarative_pipeline_all", "recorded_runs_all")}
+    assert n == {
+        "id_lengths_sorted_all": docs.count(),
+        "declarative_pipeline_all": docs.where("lang = 'en' and n_chars >= 1000").count(),
+        "recorded_runs_all": spark.read.parquet(f"{sf}/conversations.parquet").count(),
+    }
