@@ -3,13 +3,15 @@
 1. Markup is stripped into *lines*, one per block element, in page order.  Lines
    of menus, forms, adverts, reader comments and the like, told by element, role,
    class or id, and lines that are mostly link text have length 0; so have the
-   lines outside of an article or main element if the page has one with text.
+   lines outside of an article or main element if the page has one with text (of
+   such elements and containers told by class, the kind that holds more text).
 2. Over the line lengths a window of ``WINDOW`` lines is summed.  A surge is where
    the sum rises above the threshold, the next dive where it falls to 0.
 3. The lines of positive length between surges and dives are the text.
 
-The threshold is 0 inside of an explicit article, where every line counts, and
-otherwise ``THRESHOLD`` characters, or half of the largest sum if that is less.
+The threshold is 0 inside of an explicit article or such a container: there the
+elements and classes decide, every line counts, and the distribution has no say.
+It is otherwise ``THRESHOLD`` characters, or half of the largest sum if that is less.
 
 Defined results: null or empty html gives an empty text; unclosed elements end
 where HTML ends them or with the page; a page without a surge gives an empty
@@ -53,10 +55,11 @@ _WORDS = frozenset(
     " cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations"
     " comment comments commentlist respond disqus reply replies discussion widget widgets toolbar pagination pager login teaser copyright paywall disclaimer alert".split()
 )
+_TEASERS = frozenset("teaser related recommended recommendations promo sponsored ad advert".split())
 _PREFIX = re.compile(r"(?:comment|advert|adsby|sponsor|cookie|newsletter|breadcrumb|sidebar|subscri|navbar|pagination)")
 _REMARKS = re.compile(r"(?:comment|respond|disqus|repl(?:y|ies)$|discussion)")
 _MAIN_WORDS = frozenset("article articlebody story storybody post entry content main maincontent".split())
-_MAIN, _SECOND, _NONE = 2, 1, 0
+_BOTH, _MAIN, _SECOND, _NONE = 3, 2, 1, 0  # both: an article within a main-like container
 
 
 def _attrs(raw: str) -> dict[str, str]:
@@ -70,7 +73,7 @@ class _Lines:
         self.texts: list[str] = []
         self.sizes: list[int] = []
         self.levels: list[int] = []
-        self.stack: list[tuple[str, int, int]] = []  # element, skip (1 all, 2 all but headings, 3 comments), level
+        self.stack: list[tuple[str, int, int]] = []  # element, skip (1 all, 2 all but headings, 3 comments, 4 teasers), level
         self.skip, self.level, self.heading, self.link = 0, _NONE, 0, 0
         self.parts: list[str] = []
         self.linked = 0
@@ -119,18 +122,18 @@ class _Lines:
         remarks = any(_REMARKS.match(w) for w in words)
         main = tag in ("article", "main") or known.get("role") in ("main", "article") or known.get("itemprop", "").lower() == "articlebody"
         if remarks:
-            skip = skip if skip in (1, 3) else 3
-        elif main and skip != 3 and not any(w in ("teaser", "related", "recommended", "promo", "sponsored", "ad", "advert", "sidebar") for w in words):
+            skip = skip if skip in (1, 3, 4) else 3
+        elif main and skip not in (3, 4) and not any(w in _TEASERS or w == "sidebar" for w in words):
             if not any(t in _SKIP for t, s, _ in self.stack if s):
                 skip = 0
-            level = _MAIN
+            level = _BOTH if level in (_SECOND, _BOTH) else _MAIN
         elif skip == 0:
             if tag in _SKIP or known.get("role") in _ROLES or "hidden" in known or re.search(r"display\s*:\s*none", known.get("style", ""), re.I):
                 skip = 1
             elif tag == "header":
-                skip = 2 if level == _MAIN else 1
+                skip = 2 if level >= _MAIN else 1
             elif tag not in ("html", "body", "main", *_HEADINGS) and any(w in _WORDS or _PREFIX.match(w) for w in words) and not (level != _NONE and "header" in words and not any(w in _WORDS and w != "header" for w in words)):
-                skip = 1
+                skip = 4 if any(w in _TEASERS for w in words) else 1
             elif level == _NONE and listed and tag not in ("html", "body") and any(w in _MAIN_WORDS for w in words):
                 level = _SECOND
         if skip and not self.skip and tag in _BLOCK:
@@ -208,8 +211,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    best = max((lv for lv, t in zip(lines.levels, lines.texts, strict=True) if t), default=_NONE)
-    sizes = [n if lv == best else 0 for n, lv in zip(lines.sizes, lines.levels, strict=True)]
+    held = [0, 0, 0, 0]
+    for lv, t in zip(lines.levels, lines.texts, strict=True):
+        held[lv] += len(t)
+    best = _SECOND if held[_SECOND] > held[_MAIN] + held[_BOTH] else _MAIN if held[_MAIN] + held[_BOTH] else _NONE
+    sizes = [n if lv == best or lv == _BOTH else 0 for n, lv in zip(lines.sizes, lines.levels, strict=True)]
     spans = spans_of(sizes, WINDOW, THRESHOLD if best == _NONE else 0)
     return "\n".join(lines.texts[i] for a, b in spans for i in range(a, b) if sizes[i])
 

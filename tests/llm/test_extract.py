@@ -86,3 +86,22 @@ def test_query_columns(spark):
     got = html_extract.digest(df).orderBy("page_id").collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "", 0), (1, "", 0), (2, "é🎉", 2)]
     assert html_extract.digest(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("box", ["related-posts", "promo", "more"])
+def test_cards_do_not_replace_the_story(box):
+    cards = f'<div class="{box}"><article class="card"><h3>Other</h3><p>Read this too.</p></article></div>'
+    assert main_text(page(f'<div class="content"><p>{LONG}</p><p>{LONG}</p></div>{cards}')) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_cards_in_a_marked_container_do_not_replace_a_plain_story():
+    cards = '<div class="related-posts"><article class="card"><p>Read this too.</p></article></div>'
+    assert main_text(page(f"<div><p>{LONG}</p></div>{cards}")) == LONG.strip()
+
+
+def test_an_article_in_a_page_wrapper_with_a_noise_word_stays():
+    assert main_text(page(f'<div class="has-sidebar"><article><p>{LONG}</p></article></div>')) == LONG.strip()
+
+
+def test_an_article_in_a_larger_container_stays():
+    assert main_text(page(f'<div class="content"><article><p>Short story.</p></article><div><p>{LONG}</p></div></div>')) == f"Short story.\n{LONG.strip()}"
