@@ -1,4 +1,7 @@
-"""Substring deduplication over a compacted de Bruijn graph of token k-mers.
+"""Substring deduplication by minimiser paths of 50-word windows.
+
+No de Bruijn graph is built: paths are not joined into longer ones, and equality is
+that of hashes; words are not compared.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``.  A window is 50 consecutive words; each
 word of a window whose sequence also starts in a document of smaller id is removed.
@@ -12,8 +15,8 @@ Compaction.  An anchor that occurs in one document is dropped.  If all paths at
 an anchor are equal, the path does not branch: it is one record with its smallest
 document, and every other document loses the whole path; no window is looked at.
 Only where paths of an anchor differ (the graph branches: at the ends of repeated
-passages and at edits) one representative of each path, found again by its source
-coordinates, is opened into windows, and each window's smallest document is found
+passages and at edits) one representative of each path, found again in its
+document's text, is opened into windows, and each window's smallest document is found
 by a grouped minimum.  A path's other documents lose all of it in any case.
 
 Joins are by anchor, by (anchor, path), by (anchor, window) and by document; no
