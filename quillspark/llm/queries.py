@@ -109,24 +109,6 @@ WITH w AS (
 )
 SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN gone_by ON gone_by.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
-""",
-    "op6_minhash_near_dup": r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
-), s AS (
-  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
-), links AS (
-  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
-), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reached(node, label) AS (
-  SELECT doc_id, doc_id FROM documents
-  UNION SELECT b, label FROM reached JOIN both_ways ON a = node
-)
-SELECT node AS doc_id, min(label) AS class_id FROM reached GROUP BY node
 """,
     "op7_decontaminate": r"""
 WITH lowered AS (
