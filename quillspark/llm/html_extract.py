@@ -1,17 +1,25 @@
 """Main-text extraction from HTML by line-block distribution.
 
-1. Markup is stripped into *lines*, one per block element, in page order.  Lines
-   of menus, forms, adverts, reader comments and the like, told by element, role,
-   class or id, and lines that are mostly link text have length 0; so have the
-   lines outside of an article or main element if the page has one with text (of
-   such elements and containers told by class, the kind that holds more text).
-2. Over the line lengths a window of ``WINDOW`` lines is summed.  A surge is where
-   the sum rises above the threshold, the next dive where it falls to 0.
-3. The lines of positive length between surges and dives are the text.
-
-The threshold is 0 inside of an explicit article or such a container: there the
-elements and classes decide, every line counts, and the distribution has no say.
-It is otherwise ``THRESHOLD`` characters, or half of the largest sum if that is less.
+1. Markup is stripped into *lines*, one per block element, in page order.  What no
+   reader sees as text (scripts, styles, controls, hidden elements) is no line.
+2. A line's weight is its text length less the length of its link text, times a
+   factor by markup: ``MARKED`` in an article, main element or main-like
+   container, 1 in plain blocks, ``NOISE`` in menus, headers, footers, sidebars,
+   notices, adverts, forms and reader comments.  Markup decides no more than that.
+3. Over the weights a window of ``WINDOW`` lines is summed.  A surge is where the sum
+   rises above the threshold, the next dive where it falls to 0.  The threshold is
+   ``THRESHOLD``, or half of the largest sum if that is less; noise always has
+   to pass ``THRESHOLD``.  Lines of noise stand in the distribution behind the others,
+   so that an advert within a story does not split it.
+4. Of the spans from surge to dive those are kept whose total weight is at
+   least ``SHARE`` of the heaviest one's; their lines, in page order, are the text.  In
+   a marked container the span begins where the sum rises from 0, so that short
+   first lines stay.
+
+So a page with an article gives the article, and text beside it only if there is
+more of it; a page without one gives its dense blocks; and text in a container that
+is marked as noise by mistake, such as a page wrapped in one form, stays if nothing
+else on the page weighs as much.
 
 Defined results: null or empty html gives an empty text; unclosed elements end
 where HTML ends them or with the page; a page without a surge gives an empty
@@ -30,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-THRESHOLD = 80
+THRESHOLD = 80.0
+MARKED, NOISE, SHARE = 10.0, 0.02, 0.1
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -41,25 +50,28 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([a-z:-]+)", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BLOCK = _HEADINGS | frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("nav footer aside form noscript svg math canvas object video audio button select template dialog menu search head datalist map applet".split())
+_UNSEEN = frozenset("noscript svg math canvas object video audio button select template dialog head datalist map applet".split())
+_ASIDE = frozenset("nav footer aside form menu search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_WORDS = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead banner ad ads adv adbox advert adverts advertisement advertisements sponsor sponsored promo promotion"
-    " cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations"
-    " comment comments commentlist respond disqus reply replies discussion widget widgets toolbar pagination pager login teaser copyright paywall disclaimer alert".split()
-)
-_TEASERS = frozenset("teaser related recommended recommendations promo sponsored ad advert".split())
-_PREFIX = re.compile(r"(?:comment|advert|adsby|sponsor|cookie|newsletter|breadcrumb|sidebar|subscri|navbar|pagination)")
-_REMARKS = re.compile(r"(?:comment|respond|disqus|repl(?:y|ies)$|discussion)")
-_MAIN_WORDS = frozenset("article articlebody story storybody post entry content main maincontent".split())
-_BOTH, _MAIN, _SECOND, _NONE = 3, 2, 1, 0  # both: an article within a main-like container
+# names of a class or id, as a whole: [place-]noise[-part]*
+_PLACE = r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|article|blog|left|right|fixed|sticky|user|reader)[-_])?"
+_PART = r"(?:[-_](?:links?|list|bar|box|boxes|buttons?|tools|icons?|form|area|section|thread|wrapper?|container|inner|outer|content|posts?|articles?|stories|items?|news|banner|notices?|menu|nav|text|body|author|meta|title|header|footer|popup|modal|widgets?|slot|unit|top|bottom|left|right|main|\d+))*"
+_OTHERS = r"(?:teasers?|related|recommend(?:ed|ations)|sponsor(?:ed|s)?|promo|promotions?|ads?|advert(?:s|isements?|ising)?|adbox|sidebar)"
+_REPLIES = r"(?:comments?|commentlist|respond|disqus|repl(?:y|ies))"
+_REST = r"(?:nav|navbar|navigation|menus?|breadcrumbs?|aside|header|footer|masthead|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|signup|popup|modal|overlay|share|sharing|social|widgets?|toolbar|pagination|pager|login|paywall|disclaimer|copyright|alert)"
+_IS_OTHERS = re.compile(f"{_PLACE}{_OTHERS}{_PART}", re.I)
+_IS_REPLIES = re.compile(f"{_PLACE}{_REPLIES}{_PART}", re.I)
+_IS_NOISE = re.compile(f"{_PLACE}{_REST}{_PART}", re.I)
+_IS_HEADER = re.compile(f"{_PLACE}header", re.I)
+_IS_MAIN = re.compile(r"(?:(?:article|story|post|entry|main|page)[-_]?)?(?:article|story|body|content|text|post|entry|main)", re.I)
+_LEGAL = re.compile(r"(?:©|\(c\)|copyright)\W{0,3}(?:19|20)\d\d\b|^©|all rights reserved", re.I)
+_TEXT, _HIDDEN, _HEADS, _SIDE, _OTHER = range(5)  # text; no text; headings only; noise; noise whose articles are noise, too
 
 
 def _attrs(raw: str) -> dict[str, str]:
@@ -67,19 +79,18 @@ def _attrs(raw: str) -> dict[str, str]:
 
 
 class _Lines:
-    """Lines of a page: text, length for the distribution, level of the article around it."""
+    """The lines of a page and their weights; noise has its own list."""
 
     def __init__(self) -> None:
-        self.texts: list[str] = []
-        self.sizes: list[int] = []
-        self.levels: list[int] = []
-        self.stack: list[tuple[str, int, int]] = []  # element, skip (1 all, 2 all but headings, 3 comments, 4 teasers), level
-        self.skip, self.level, self.heading, self.link = 0, _NONE, 0, 0
+        self.lines: list[tuple[int, str, float, bool]] = []  # place in the page, text, weight, marked
+        self.noise: list[tuple[int, str, float, bool]] = []
+        self.stack: list[tuple[str, int, int]] = []  # element, state and level outside of it
+        self.state, self.level, self.heading, self.link = _TEXT, 0, 0, 0
         self.parts: list[str] = []
-        self.linked = 0
+        self.linked = self.place = 0
 
     def text(self, raw: str) -> None:
-        if self.skip == 0 or self.skip == 2 and self.heading:
+        if self.state != _HIDDEN and (self.state != _HEADS or self.heading):
             self.parts.append(raw)
             if self.link:
                 self.linked += len(raw.strip())
@@ -88,17 +99,20 @@ class _Lines:
         if self.parts:
             text = " ".join(_html.unescape("".join(self.parts)).split())
             if text:
-                self.texts.append(text)
-                self.levels.append(self.level)
-                self.sizes.append(0 if 2 * self.linked > len(text) and not self.heading and self.level == _NONE else len(text))
+                self.place += 1
+                noise = self.state >= _SIDE or not self.level and bool(_LEGAL.search(text))
+                own = max(0, len(text) - (0 if self.heading else self.linked))
+                if noise:
+                    self.noise.append((self.place, text, NOISE * own, False))
+                elif self.level:
+                    self.lines.append((self.place, text, MARKED * max(1, own), True))
+                else:
+                    self.lines.append((self.place, text, float(own if 2 * own >= len(text) else 0), False))
             self.parts.clear()
         self.linked = 0
 
-    def gap(self) -> None:
-        for _ in range(WINDOW):
-            self.texts.append("")
-            self.sizes.append(0)
-            self.levels.append(self.level)
+    def gap(self, of: list) -> None:
+        of.extend([(0, "", 0.0, False)] * WINDOW)
 
     def open(self, tag: str, raw: str) -> None:
         if tag in _BLOCK:
@@ -116,32 +130,48 @@ class _Lines:
         if tag in _HEADINGS:
             self.heading += 1
             self.link = 0
-        skip, level, listed = self.skip, self.level, tag in _BLOCK and tag not in _HEADINGS
         known = _attrs(raw) if raw and raw.strip("/ \n\t\r") else {}
-        words = [w for k in ("class", "id") if known.get(k) for w in _SPLIT.split(known[k].lower()) if w]
-        remarks = any(_REMARKS.match(w) for w in words)
-        main = tag in ("article", "main") or known.get("role") in ("main", "article") or known.get("itemprop", "").lower() == "articlebody"
-        if remarks:
-            skip = skip if skip in (1, 3, 4) else 3
-        elif main and skip not in (3, 4) and not any(w in _TEASERS or w == "sidebar" for w in words):
-            if not any(t in _SKIP for t, s, _ in self.stack if s):
-                skip = 0
-            level = _BOTH if level in (_SECOND, _BOTH) else _MAIN
-        elif skip == 0:
-            if tag in _SKIP or known.get("role") in _ROLES or "hidden" in known or re.search(r"display\s*:\s*none", known.get("style", ""), re.I):
-                skip = 1
-            elif tag == "header":
-                skip = 2 if level >= _MAIN else 1
-            elif tag not in ("html", "body", "main", *_HEADINGS) and any(w in _WORDS or _PREFIX.match(w) for w in words) and not (level != _NONE and "header" in words and not any(w in _WORDS and w != "header" for w in words)):
-                skip = 4 if any(w in _TEASERS for w in words) else 1
-            elif level == _NONE and listed and tag not in ("html", "body") and any(w in _MAIN_WORDS for w in words):
-                level = _SECOND
-        if skip and not self.skip and tag in _BLOCK:
-            self.flush()
-            self.gap()
-        if listed or skip != self.skip or level != self.level:
-            self.stack.append((tag, self.skip, self.level))
-            self.skip, self.level = skip, level
+        names = [] if tag in _HEADINGS else [w for k in ("class", "id") if known.get(k) for w in known[k].split()]
+        state, level, listed = self.judge(tag, known, names)
+        if state != self.state or level != self.level:
+            if tag in _BLOCK:
+                self.flush()
+                if state >= _SIDE:
+                    self.gap(self.noise)
+                elif level != self.level:
+                    self.gap(self.lines)
+            elif state >= _SIDE:
+                state = _HIDDEN  # inline noise is part of no line
+            listed = True
+        if listed:
+            self.stack.append((tag, self.state, self.level))
+            self.state, self.level = state, level
+
+    def judge(self, tag: str, known: dict[str, str], names: list[str]) -> tuple[int, int, bool]:
+        """(state, level, whether it must be closed) of an element within the current one."""
+        listed = tag in _BLOCK and tag not in _HEADINGS
+        if self.state in (_HIDDEN, _OTHER):
+            return self.state, self.level, listed
+        if tag in _UNSEEN or "hidden" in known or re.search(r"display\s*:\s*none", known.get("style", ""), re.I):
+            return _HIDDEN, self.level, listed
+        if tag in ("html", "body") or tag in _HEADINGS:
+            return self.state, self.level, listed
+        if any(_IS_REPLIES.fullmatch(w) or _IS_OTHERS.fullmatch(w) for w in names):
+            return _OTHER, self.level, listed
+        if tag in ("article", "main") or known.get("role") in ("main", "article") or known.get("itemprop", "").lower() == "articlebody":
+            inside = any(t in _ASIDE for t, _, _ in self.stack)
+            return (self.state if inside else _TEXT), (self.level if inside else 1), listed
+        if self.state != _TEXT:
+            return self.state, self.level, listed
+        if tag == "header":
+            return (_HEADS if self.level else _SIDE), self.level, listed
+        if tag in _ASIDE or known.get("role") in _ROLES:
+            return _SIDE, self.level, listed
+        if any(_IS_NOISE.fullmatch(w) for w in names) and not (self.level and all(_IS_HEADER.fullmatch(w) for w in names if _IS_NOISE.fullmatch(w))):
+            return _SIDE, self.level, listed
+        if listed and not self.level and any(_IS_MAIN.fullmatch(w) for w in names):
+            return _TEXT, 1, listed
+        return self.state, self.level, listed
 
     def close(self, tag: str) -> None:
         if tag in _BLOCK:
@@ -161,10 +191,12 @@ class _Lines:
                 return
 
     def pop(self) -> None:
-        tag, skip, level = self.stack.pop()
-        if tag in _BLOCK and (self.skip != skip or self.level != level):
+        tag, state, level = self.stack.pop()
+        if tag in _BLOCK and (self.state != state or self.level != level):
             self.flush()
-        self.skip, self.level = skip, level
+            if self.level != level and self.state == state == _TEXT:
+                self.gap(self.lines)
+        self.state, self.level = state, level
 
 
 def lines_of(page: str) -> _Lines:
@@ -187,18 +219,20 @@ def lines_of(page: str) -> _Lines:
     return lines
 
 
-def spans_of(sizes: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
-    """Half-open line ranges from each surge to the next dive."""
-    n, total = len(sizes), 0
-    sums = [0] * n
-    for i in range(n - 1, -1, -1):
-        total += sizes[i] - (sizes[i + window] if i + window < n else 0)
-        sums[i] = total
-    bar = min(threshold, max(sums, default=0) // 2)
+def spans_of(weights: list[float], marked: list[bool], window: int = WINDOW, threshold: float = THRESHOLD, n_text: int | None = None) -> list[tuple[int, int]]:
+    """Half-open line ranges from each surge to the next dive; lines from
+    ``n_text`` on are noise."""
+    n = len(weights)
+    n_text = n if n_text is None else n_text
+    sums = [sum(weights[i : min(i + window, n_text if i < n_text else n)]) for i in range(n)]
+    bar = min(threshold, max(sums[:n_text], default=0.0) / 2)
     out, start = [], None
     for i in range(n):
-        if start is None and sums[i] > bar:
+        if start is None and sums[i] > (bar if i < n_text else threshold):
             start = i
+            floor = out[-1][1] if out else 0
+            while start > floor and marked[start - 1] and weights[start - 1]:
+                start -= 1
         elif start is not None and sums[i] == 0:
             out.append((start, i))
             start = None
@@ -207,17 +241,23 @@ def spans_of(sizes: list[int], window: int, threshold: int) -> list[tuple[int, i
     return out
 
 
+def chosen_spans(weights: list[float], marked: list[bool], n_text: int) -> list[tuple[int, int]]:
+    """The spans that weigh at least ``SHARE`` of the heaviest one."""
+    spans = spans_of(weights, marked, n_text=n_text)
+    heavy = [sum(weights[a:b]) for a, b in spans]
+    return [s for s, w in zip(spans, heavy, strict=True) if w >= SHARE * max(heavy)]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    held = [0, 0, 0, 0]
-    for lv, t in zip(lines.levels, lines.texts, strict=True):
-        held[lv] += len(t)
-    best = _SECOND if held[_SECOND] > held[_MAIN] + held[_BOTH] else _MAIN if held[_MAIN] + held[_BOTH] else _NONE
-    sizes = [n if lv == best or lv == _BOTH else 0 for n, lv in zip(lines.sizes, lines.levels, strict=True)]
-    spans = spans_of(sizes, WINDOW, THRESHOLD if best == _NONE else 0)
-    return "\n".join(lines.texts[i] for a, b in spans for i in range(a, b) if sizes[i])
+    found = lines_of(page)
+    lines = [*found.lines, *[(0, "", 0.0, False)] * WINDOW]
+    n_text = len(lines)
+    lines += found.noise
+    spans = chosen_spans([x[2] for x in lines], [x[3] for x in lines], n_text)
+    kept = sorted((lines[i][0], lines[i][1]) for a, b in spans for i in range(a, b) if lines[i][2])
+    return "\n".join(t for _, t in kept)
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> DataFrame:

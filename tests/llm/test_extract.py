@@ -54,8 +54,49 @@ def test_inline_noise_does_not_split_a_block():
 
 
 def test_surges_and_dives():
-    assert html_extract.spans_of([0, 0, 100, 5, 100, 0, 0, 0, 0, 90, 0], 3, 80) == [(0, 5), (7, 10)]
-    assert html_extract.spans_of([], 3, 80) == [] and html_extract.spans_of([0, 0], 3, 80) == []
+    plain = lambda w: html_extract.spans_of([float(x) for x in w], [False] * len(w), 3, 80)
+    assert plain([0, 0, 100, 5, 100, 0, 0, 0, 0, 90, 0]) == [(0, 5), (7, 10)]
+    assert plain([]) == [] and plain([0, 0]) == []
+    # in marked containers short first lines belong to the surge behind them
+    assert html_extract.spans_of([0, 1, 1, 1, 1, 100, 0, 0, 0], [False] + [True] * 5 + [False] * 3, 3, 80) == [(1, 6)]
+    # noise has to pass the whole threshold
+    assert html_extract.spans_of([20, 0, 0, 0, 30, 30, 0], [False] * 7, 3, 80, n_text=4) == [(0, 1)]
+    assert html_extract.chosen_spans([1000, 0, 0, 0, 99, 0, 0, 0, 101], [False] * 9, 9) == [(0, 1), (6, 9)]
+
+
+OUTSIDE = "<div><p>A line of the site about itself</p><p>And a second one of that kind</p></div>"
+KEPT_WORDS = ['section id="discussion"', 'section id="related-work"', 'p class="commentary"', 'p class="share-price"', 'div class="reply-brief"', 'h2 id="discussion"', 'div class="notice-board-history"']
+
+
+@pytest.mark.parametrize("element", KEPT_WORDS)
+def test_words_of_an_article_are_no_noise(element):
+    tag = element.split()[0]
+    assert main_text(page(f"<article><h1>Head</h1><p>One.</p><{element}>What it says</{tag}><p>Two.</p></article>")) == "Head\nOne.\nWhat it says\nTwo."
+
+
+def test_the_distribution_chooses(monkeypatch):
+    """Unmarked lines beside an article, and unmarked pages, fail when surges and dives are left out."""
+    story = f"<h1>Head</h1><p>Yes.</p><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\nYes.\n{LONG.strip()}\n{LONG.strip()}"
+    links = "".join(f'<li><a href="/{i}">Story number {i}</a></li>' for i in range(9))
+    pages = [
+        page(f"{OUTSIDE}<article>{story}</article>{OUTSIDE}"),
+        f"<body><div>Example Times</div><ul>{links}</ul><div>{story}</div><ul>{links}</ul><div>Contact us</div></body>",
+        page(f"{OUTSIDE}<div class='content'>{story}</div>"),
+    ]
+    assert [main_text(p) for p in pages] == [want] * 3
+    monkeypatch.setattr(html_extract, "chosen_spans", lambda w, m, n: [(0, len(w))])
+    assert all(main_text(p) != want for p in pages)
+    assert main_text(page("<article><p>One.</p></article>")) != "One."  # menu and footer lines are in the distribution
+
+
+def test_a_story_in_a_form_or_an_aside_stays():
+    assert main_text(f"<body><form><div>{''.join(f'<p>{LONG * 9}</p>' for _ in range(5))}</div></form></body>").count("\n") == 4
+
+
+def test_legal_lines_of_pages_without_article():
+    legal = "<p>Copyright 2021 The Example Company. No part of this page may be reproduced without the written consent of its owner.</p>"
+    assert main_text(page(f"<div><p>{LONG}</p></div>{legal}")) == LONG.strip()
 
 
 @pytest.mark.parametrize("bad", [None, "", "<", "<a", "&amp", "<p", "<!--", "<script>", "<div class='", '<a href="x', "</p></p></div>", "<nav><p>x", "<article>"])
