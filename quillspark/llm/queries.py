@@ -143,7 +143,9 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(6 + length(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), chr(10), '%0A'), chr(13), '%0D')) + 1
-      + length(regexp_replace(text, '<(\\*)(/?(?:turn|part)\b)', '<\\\1\2', 'g')) + 8)::BIGINT AS formatted_chars
+      + length(regexp_replace(text, '<(\\*)(/?(?:turn|part)\b)', '<\\\1\2', 'g')) + 8)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens,
+  sum(len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]')))::BIGINT AS text_tokens
 FROM t GROUP BY conv_id
 """,
 }
