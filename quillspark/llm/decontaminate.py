@@ -3,23 +3,25 @@
 Words are maximal runs of bytes outside ``[\\x00-/:-`{-\\x7f]`` after A-Z are
 lower-cased, so any character beyond ASCII belongs to a word.  All windows of 13
 consecutive words of each benchmark item (a shorter, non-empty item is one
-window) go into one automaton; each document's normalised words are scanned
-once, and the matched words are mapped back to code point offsets of the
-original text.
+window) go into one automaton.  Its letters are whole words: each word of the
+benchmark has a number, written as one code point, so a window has 13 nodes at most, and a
+document, its words outside of the benchmark written as 0, is scanned once by
+words.  Hits are mapped back to code point offsets of the original text.
 
-The automaton is broadcast, so its size is checked: the benchmark is cut into
-blocks of at most ``block_chars`` characters, and beyond one block the scan runs
-over the blocks one after another within the same pass over the documents, with
-one automaton in memory at a time.
+The automaton is built once in a Python worker from the broadcast benchmark.  It
+takes about 0.7 kB a window; a benchmark of more than ``block_windows`` words is
+scanned in blocks, each with one automaton in memory at a time, built once for every
+``_HELD_CHARS`` characters of documents.  The result is the same.
 
 Defined results: a null or empty text has no words and is clean; an item without
 words has no windows; repeated rows each get their own result; an item id that
-occurs in several rows counts once.
+occurs in several rows counts once, and so do all items without an id, whose words
+count as hit but which have no name in the list of items.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,53 +32,57 @@ from pyspark.sql import functions as F
 WINDOW = 13
 _WORD_BYTES = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80) else 0x20 for c in range(256))
 _RESULT = pa.struct(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
 )
-RESULT_DDL = "n_words long, n_hit long, n_items long, items array<long>, starts array<long>, ends array<long>"
+RESULT_DDL = "n_words long, n_hit long, n_items long, items array<string>, starts array<long>, ends array<long>"
+_HELD_CHARS = 32 << 20
+_FIRST, _SURROGATES, _MOST = 1, 0xD800, 1_000_000
+_built: dict = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> set[bytes]:
-    words = normal_words(text)
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
-    """Automaton over `` w1 w2 ... `` with the window's bytes length, word count and items."""
-    import ahocorasick
-
-    owners: dict[bytes, set[int]] = {}
-    for item, text in items:
-        for w in windows_of(text, size):
-            owners.setdefault(w, set()).add(item)
-    auto = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        auto.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
-    if owners:
-        auto.make_automaton()
-    return auto if owners else None
-
-
-def scan(words: list[bytes], automata) -> tuple[np.ndarray | None, set[int]]:
-    """A hit mask over ``words`` (None: no hit) and the items that occur."""
-    mask, items = None, set()
-    if not words:
-        return mask, items
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    ends = None
-    for auto in automata:
-        for at, (n, ids) in auto.iter(line):
-            if mask is None:
-                mask = np.zeros(len(words) + 1, np.int32)
-                ends = np.cumsum([len(w) + 1 for w in words])
-            last = int(np.searchsorted(ends, at))
-            mask[last - n + 1] += 1
-            mask[last + 1] -= 1
-            items.update(ids)
-    return (None if mask is None else np.cumsum(mask[:-1]) > 0), items
+class Matcher:
+    """The automaton of some items, (id, text) each."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW) -> None:
+        import ahocorasick
+
+        self.letters: dict[bytes, str] = {}
+        owners: dict[str, set] = {}
+        for item, text in items:
+            line = "".join([self._letter(w) for w in normal_words(text)])
+            for i in range(max(1, len(line) - size + 1) if line else 0):
+                owners.setdefault(line[i : i + size], set()).add(item)
+        self.auto = ahocorasick.Automaton() if owners else None
+        for w, ids in owners.items():
+            self.auto.add_word(w, (len(w), tuple(ids)))
+        if owners:
+            self.auto.make_automaton()
+
+    def _letter(self, word: bytes) -> str:
+        found = self.letters.get(word)
+        if found is None:
+            n = _FIRST + len(self.letters)
+            if n > _MOST:
+                raise ValueError(f"block_windows allows more than {_MOST} different words in a block")
+            found = self.letters[word] = chr(n if n < _SURROGATES else n + 0x800)
+        return found
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
+        """A hit mask over ``words`` (None: no hit) and the items that occur."""
+        edge, items = None, set()
+        if words and self.auto is not None:
+            known = self.letters.get
+            for last, (n, ids) in self.auto.iter("".join([known(w, "\0") for w in words])):
+                if edge is None:
+                    edge = np.zeros(len(words) + 1, np.int32)
+                edge[last - n + 1] += 1
+                edge[last + 1] -= 1
+                items.update(ids)
+        return (None if edge is None else np.cumsum(edge[:-1]) > 0), items
 
 
 def original_spans(text: str, mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -90,55 +96,68 @@ def original_spans(text: str, mask: np.ndarray) -> tuple[list[int], list[int]]:
     return point[starts[runs[::2]]].tolist(), point[stops[runs[1::2] - 1]].tolist()
 
 
-def _scanner(blocks: list, size: int):
-    cache: dict[int, object] = {}
+def _matcher(key: str, number: int, block, size: int) -> Matcher:
+    """Built once a worker; one is in memory at a time."""
+    if (key, number) not in _built:
+        _built.clear()
+        _built[key, number] = Matcher(block.value, size)
+    return _built[key, number]
+
+
+def _scan_texts(texts: list[str | None], blocks: list, size: int, key: str) -> list[dict]:
+    found: list = [(None, set())] * len(texts)
+    counts = [0] * len(texts)
+    for number, block in enumerate(blocks):
+        matcher = _matcher(key, number, block, size)
+        for i, t in enumerate(texts):
+            words = normal_words(t)
+            counts[i] = len(words)
+            mask, items = matcher.scan(words)
+            if mask is not None:
+                old, had = found[i]
+                found[i] = (mask if old is None else old | mask, had | items)
+    out = []
+    for t, n, (mask, items) in zip(texts, counts, found, strict=True):
+        a, b = original_spans(t, mask) if mask is not None else ([], [])
+        names = sorted(x for x in items if x is not None) + [x for x in items if x is None]
+        out.append({"n_words": n, "n_hit": int(mask.sum()) if mask is not None else 0, "n_items": len(items), "items": names, "starts": a, "ends": b})
+    return out
 
-    def automata():
-        for i, b in enumerate(blocks):
-            if i not in cache:
-                if len(blocks) > 1:
-                    cache.clear()
-                cache[i] = build_automaton(b.value, size)
-            if cache[i] is not None:
-                yield cache[i]
 
+def _scanner(blocks: list, size: int, key: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: list[list[str | None]] = []
+
+        def flush() -> Iterator[pa.Array]:
+            found = iter(_scan_texts([t for own in held for t in own], blocks, size, key))
+            for own in held:
+                yield pa.array([next(found) for _ in own], _RESULT)
+            held.clear()
+
         for batch in batches:
-            texts = batch.to_pylist()
-            words = [normal_words(t) for t in texts] if len(blocks) > 1 else None
-            found: list = [(None, set())] * len(texts)
-            counts = [0] * len(texts)
-            for auto in automata():
-                for i, t in enumerate(texts):
-                    w = words[i] if words else normal_words(t)
-                    counts[i] = len(w)
-                    mask, items = scan(w, (auto,))
-                    if mask is not None:
-                        old, had = found[i]
-                        found[i] = (mask if old is None else old | mask, had | items)
-            out = []
-            for t, n, (mask, items) in zip(texts, counts, found, strict=True):
-                if mask is None:
-                    out.append({"n_words": n if n else len(normal_words(t)), "n_hit": 0, "n_items": 0, "items": [], "starts": [], "ends": []})
-                else:
-                    a, b = original_spans(t, mask)
-                    out.append({"n_words": n, "n_hit": int(mask.sum()), "n_items": len(items), "items": sorted(items), "starts": a, "ends": b})
-            yield pa.array(out, _RESULT)
+            held.append(batch.to_pylist())
+            if len(blocks) == 1 or sum(len(t) for own in held for t in own if t) > _HELD_CHARS:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list:
-    """Broadcasts of at most ``block_chars`` characters of items each."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_windows: int, size: int = WINDOW) -> list:
+    """Broadcasts of items with about ``block_windows`` words each at most; a longer item is
+    cut into pieces that overlap by all but one of a window's words."""
     sc = benchmark.sparkSession.sparkContext
     blocks, block, n = [], [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator()
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator()
     for r in rows:
-        if block and n + len(r.t) > block_chars:
-            blocks.append(sc.broadcast(block))
-            block, n = [], 0
-        block.append((r.i, r.t))
-        n += len(r.t)
+        words = normal_words(r.t)
+        for k in range(0, max(1, len(words) - size + 1), block_windows):
+            piece = words[k : k + block_windows + size - 1]
+            if block and n + len(piece) > block_windows:
+                blocks.append(sc.broadcast(block))
+                block, n = [], 0
+            block.append((r.i, b" ".join(piece).decode("utf-8", "surrogatepass")))
+            n += len(piece)
     blocks.append(sc.broadcast(block))
     return blocks
 
@@ -151,13 +170,14 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_chars: int = 4_000_000,
+    block_windows: int = 500_000,
     out: str = "contamination",
 ) -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items,
-    starts, ends (hit ranges in the original text) and contaminated.  A column of
-    that name in the input is replaced.  No shuffle; the other columns stay on the JVM."""
-    run = _scanner(benchmark_blocks(benchmark, item_col, item_text_col, block_chars), window)
+    """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items (ids as
+    strings, sorted), starts, ends (hit ranges in the original text) and
+    contaminated.  A column of that name in the input is replaced.  No shuffle; the
+    other columns stay on the JVM."""
+    run = _scanner(benchmark_blocks(benchmark, item_col, item_text_col, block_windows, window), window, uuid.uuid4().hex)
 
     @F.arrow_udf(RESULT_DDL)
     def scan_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -169,21 +189,5 @@ def find_contamination(
 
 def digest(found: DataFrame, id_col: str = "doc_id", out: str = "contamination") -> DataFrame:
     c = lambda k: F.col(f"{out}.{k}")
-    ids = F.array_join(F.array_sort(F.transform(c("items"), lambda i: i.cast("string"))), ",")
+    ids = F.array_join(c("items"), ",")
     return found.select(F.col(id_col).alias("doc_id"), c("n_words").alias("n_words"), c("n_hit").alias("n_hit"), c("n_items").alias("n_items"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), c("contaminated").alias("contaminated"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The contract word by word, for tests."""
-    wins = [(i, w.split(b" ")) for i, t in items for w in windows_of(t, window)]
-    out = []
-    for d, t in docs:
-        words, hit, had = normal_words(t), set(), set()
-        for i, w in wins:
-            for p in range(len(words) - len(w) + 1):
-                if words[p : p + len(w)] == w:
-                    hit.update(range(p, p + len(w)))
-                    had.add(i)
-        ids = ",".join(sorted(map(str, had)))
-        out.append((d, len(words), len(hit), len(had), hashlib.sha256(ids.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)))
-    return out
