@@ -8,12 +8,20 @@ tokens.
 
 An edit (start, characters to delete, text to insert) re-encodes the leaves that
 it touches and those next to them whose border is no longer such a place, and
-updates the sums on the way to the root; all other leaves keep their counts.
+updates the sums on the way to the root; all other leaves keep their counts.  The
+leaves' lengths and counts are returned; given back as ``state`` with the text that
+they belong to, they set up the tree without encoding anything, so a document that is edited
+again and again is encoded once.
+
+Within a leaf the same rule gives *cells* (a space, if any, and the run up to the
+next space); the counts of short cells are kept in a table of bounded size in
+each worker, as most cells of a corpus are repeated.
 
 Defined results: a null or empty text has 0 tokens and an empty tree; edits apply
 in order, each to the text that the one before left; starts and lengths beyond
 the text are cut to it, negative ones count as 0; a null insertion is empty; a
-text without a place to cut is one leaf.  Repeated rows each get their own result.
+text without a place to cut is one leaf; a state that is null or does not fit its text
+counts as none.  Repeated rows each get their own result.
 """
 
 from __future__ import annotations
@@ -31,9 +39,13 @@ LEAF_CHARS = 1024
 # Fixed value: the splitting pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDITS_DDL = "array<struct<start:long,n_delete:long,insert:string>>"
-RESULT_DDL = "n_tokens long, n_tokens_edited long, n_leaves long, n_reencoded_chars long, leaf_chars array<int>, leaf_tokens array<int>"
-_RESULT = pa.struct([("n_tokens", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_leaves", pa.int64()), ("n_reencoded_chars", pa.int64()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32()))])
+STATE_DDL = "struct<leaf_chars:array<int>,leaf_tokens:array<int>>"
+RESULT_DDL = "n_tokens long, n_tokens_edited long, n_leaves long, n_encoded_chars long, n_reencoded_chars long, leaf_chars array<int>, leaf_tokens array<int>, text_edited string"
+_LONGS = ("n_tokens", "n_tokens_edited", "n_leaves", "n_encoded_chars", "n_reencoded_chars")
+_RESULT = pa.struct([*[(c, pa.int64()) for c in _LONGS], ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32())), ("text_edited", pa.string())])
 _CUT = re.compile(r"(?<=\S)[ \n]")
+_CELL = re.compile(r"(?<=\S)(?= )")
+_CELL_CHARS, _CELLS = 40, 200_000
 _encodings: dict[str, object] = {}
 
 
@@ -65,9 +77,15 @@ def cut(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
 
 
 class TokenTree:
-    def __init__(self, text: str, count, leaf_chars: int = LEAF_CHARS) -> None:
+    """``state``: lengths and counts of the leaves of this text, of an earlier tree."""
+
+    def __init__(self, text: str, count, leaf_chars: int = LEAF_CHARS, state: tuple[list[int], list[int]] | None = None) -> None:
         self.count, self.leaf_chars, self.encoded = count, leaf_chars, 0
-        self._build(cut(text, leaf_chars), None)
+        if state and state[0] and len(state[0]) == len(state[1]) and sum(state[0]) == len(text) and min(state[0]) >= 0:
+            ends = np.cumsum(state[0]).tolist()
+            self._build([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], list(state[1]))
+        else:
+            self._build(cut(text, leaf_chars), None)
 
     def _build(self, leaves: list[str], tokens: list[int] | None) -> None:
         self.leaves = leaves
@@ -156,35 +174,79 @@ class TokenTree:
         return after is None or (after in " \n" and not middle[-1].isspace())
 
 
-def _counter(enc):
-    def count(leaves: list[str]) -> list[int]:
-        return [len(enc.encode_ordinary(x)) for x in leaves]
+class _Cells(dict):
+    """Token counts of cells; those of short ones are kept."""
+
+    def __init__(self, enc) -> None:
+        self.encode = enc.encode_ordinary
+
+    def __missing__(self, cell: str) -> int:
+        n = len(self.encode(cell))
+        if len(cell) <= _CELL_CHARS:
+            if len(self) >= _CELLS:
+                self.clear()
+            self[cell] = n
+        return n
+
+
+_cells: dict[str, _Cells] = {}
+
+
+def counter(path: str):
+    """A function from texts to their token counts; one table of cells a worker."""
+    if path not in _cells:
+        _cells[path] = _Cells(encoding(path))
+    get = _cells[path].__getitem__
+
+    def count(texts: list[str]) -> list[int]:
+        return [sum(map(get, _CELL.split(x))) if x else 0 for x in texts]
 
     return count
 
 
-def count_tokens(docs: DataFrame, *, text_col: str = "text", edits: Column | None = None, ranks_path: str | None = None, leaf_chars: int = LEAF_CHARS, out: str = "tokens") -> DataFrame:
-    """``docs`` with a struct column ``out``: the count before and after ``edits``
-    (an array column, see EDITS_DDL), the characters re-encoded for the edits and
-    the leaves after them, from which a tree can be set up again.  No shuffle."""
+def n_tokens(text: Column, *, ranks_path: str | None = None) -> Column:
+    """The token count of a text (null: 0), for operators that need no tree."""
+    path = ranks_path or default_ranks()
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = counter(path)
+        for batch in batches:
+            yield pa.array([count([x.as_py() or ""])[0] for x in batch], pa.int64())
+
+    return run.asNondeterministic()(text)
+
+
+def count_tokens(
+    docs: DataFrame, *, text_col: str = "text", edits: Column | None = None, state: Column | None = None, keep_text: bool = False, ranks_path: str | None = None, leaf_chars: int = LEAF_CHARS, out: str = "tokens"
+) -> DataFrame:
+    """``docs`` with a struct column ``out``: the counts before and after ``edits``
+    (an array column, see EDITS_DDL), the characters encoded in all and for the edits,
+    the leaves after the edits, and the edited text if ``keep_text``.  With ``state`` (a struct of leaf_chars
+    and leaf_tokens from an earlier result for this text) no other leaves are encoded than
+    those that the edits touch.  No shuffle."""
     path = ranks_path or default_ranks()
     edits = (F.array() if edits is None else F.coalesce(edits, F.array())).cast(EDITS_DDL)
+    state = (F.lit(None) if state is None else F.struct(state["leaf_chars"].alias("leaf_chars"), state["leaf_tokens"].alias("leaf_tokens"))).cast(STATE_DDL)
 
     @F.arrow_udf(RESULT_DDL)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        count = _counter(encoding(path))
-        for texts, changes in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        count = counter(path)
+        for texts, changes, states in batches:
             rows = []
-            for text, own in zip(texts, changes, strict=True):
-                tree = TokenTree(text.as_py() or "", count, leaf_chars)
-                before, tree.encoded = tree.n_tokens, 0
+            for text, own, known in zip(texts, changes, states, strict=True):
+                k = known.as_py() or {}
+                kept = (k["leaf_chars"], k["leaf_tokens"]) if k.get("leaf_chars") and k.get("leaf_tokens") and None not in k["leaf_chars"] + k["leaf_tokens"] else None
+                tree = TokenTree(text.as_py() or "", count, leaf_chars, kept)
+                before, first = tree.n_tokens, tree.encoded
                 for e in own.as_py() or ():
                     if e:
                         tree.edit(e["start"] or 0, e["n_delete"] or 0, e["insert"] or "")
-                rows.append({"n_tokens": before, "n_tokens_edited": tree.n_tokens, "n_leaves": len(tree.leaves), "n_reencoded_chars": tree.encoded, "leaf_chars": [len(x) for x in tree.leaves], "leaf_tokens": tree.tokens()})
+                sums = (before, tree.n_tokens, len(tree.leaves), tree.encoded, tree.encoded - first)
+                rows.append(dict(zip(_LONGS, sums, strict=True)) | {"leaf_chars": [len(x) for x in tree.leaves], "leaf_tokens": tree.tokens(), "text_edited": tree.text() if keep_text else None})
             yield pa.array(rows, _RESULT)
 
-    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col), edits))
+    return docs.withColumn(out, run.asNondeterministic()(F.col(text_col), edits, state))
 
 
 def gather_edits(edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

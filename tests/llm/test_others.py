@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -13,23 +14,42 @@ DOCS = "doc_id long, text string, contamination string"
 
 
 # -- decontamination -------------------------------------------------------
+def brute_contamination(docs, items, window=13):
+    """The contract word by word."""
+    wins = []
+    for i, t in items:
+        w = decontaminate.normal_words(t)
+        wins += [(i, w[k : k + window]) for k in range(max(1, len(w) - window + 1) if w else 0)]
+    out = []
+    for d, t in docs:
+        words, hit, had = decontaminate.normal_words(t), set(), set()
+        for i, w in wins:
+            for p in range(len(words) - len(w) + 1):
+                if words[p : p + len(w)] == w:
+                    hit.update(range(p, p + len(w)))
+                    had.add(i)
+        ids = ",".join(sorted(str(i) for i in had if i is not None))
+        out.append((d, len(words), len(hit), len(had), hashlib.sha256(ids.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)))
+    return sorted(out)
+
+
 def run_contamination(spark, docs, items, **options):
     b = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_contamination(spark.createDataFrame([(*d, "x") for d in docs], DOCS), b, **options)
     return sorted(tuple(r) for r in decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
 
 
-@pytest.mark.parametrize("block_chars", [50, 10**6])
-def test_contamination_against_brute_force(spark, block_chars):
+@pytest.mark.parametrize("block_windows", [10, 10**6])
+def test_contamination_against_brute_force(spark, block_windows):
     rng = random.Random(1)
     word = lambda: rng.choice(["a", "Bb", "c1", "é", "Ünd", "x_y", "don't", "日本"]) + rng.choice(["", "q", "zz"])
-    items = [(i, rng.choice([" ", ", ", "\n"]).join(word() for _ in range(rng.choice([0, 1, 3, 13, 14, 30])))) for i in range(15)] + [(99, None), (1, "repeated item id with words")]
+    items = [(i, rng.choice([" ", ", ", "\n"]).join(word() for _ in range(rng.choice([0, 1, 3, 13, 14, 30])))) for i in range(15)] + [(99, None), (1, "repeated item id with words"), (None, "no item id here"), (None, "repeated item id with words")]
     docs = []
     for d in range(60):
         parts = [rng.choice(items)[1] or "" if rng.random() < 0.5 else " ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(3)]
         docs.append((d, rng.choice([" ", "", " - "]).join(parts)))
-    docs += [(100, None), (101, ""), (102, "?!"), (1, docs[1][1]), (103, "word " * 50_000)]
-    assert run_contamination(spark, docs, items, block_chars=block_chars) == sorted(decontaminate.brute_force(docs, items))
+    docs += [(100, None), (101, ""), (102, "?!"), (1, docs[1][1]), (103, "word " * 50_000), (104, "a repeated item id with words"), (105, "no item id here or there")]
+    assert run_contamination(spark, docs, items, block_windows=block_windows) == brute_contamination(docs, items)
 
 
 def test_contamination_offsets(spark):
@@ -37,7 +57,14 @@ def test_contamination_offsets(spark):
     df = spark.createDataFrame([(1, text, None)], DOCS)
     items = spark.createDataFrame([(5, "the big old tree")], "item_id long, text string")
     r = decontaminate.find_contamination(df, items).first().contamination
-    assert [text[a:b] for a, b in zip(r.starts, r.ends, strict=True)] == ["THE, big old TREE"] and r["items"] == [5] and r.contaminated
+    assert [text[a:b] for a, b in zip(r.starts, r.ends, strict=True)] == ["THE, big old TREE"] and r["items"] == ["5"] and r.contaminated
+
+
+def test_many_different_words_and_string_ids(spark):
+    items = spark.createDataFrame([("q1", " ".join(f"v{i}" for i in range(70_000)))], "item_id string, text string")
+    docs = spark.createDataFrame([("d", " ".join(f"v{i}" for i in range(60_000, 60_013))), ("e", "v1 v3")], "doc_id string, text string")
+    got = {r.doc_id: r.contamination for r in decontaminate.find_contamination(docs, items).collect()}
+    assert got["d"].n_hit == 13 and got["d"]["items"] == ["q1"] and got["e"].n_hit == 0
 
 
 def test_contamination_of_empty_tables(spark):
@@ -46,9 +73,9 @@ def test_contamination_of_empty_tables(spark):
 
 
 # -- packing ---------------------------------------------------------------
-def test_packing_keeps_every_token(spark):
+def test_packing_keeps_every_token(spark, count):
     rng = random.Random(1)
-    rows = [(i, " ".join(["w"] * int(rng.paretovariate(0.6) * 40))) for i in range(400)] + [(500, None), (501, ""), (7, "again and again"), (None, "no id"), (502, "w " * 20_000)]
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(0.6) * 40))) for i in range(400)] + [(500, None), (501, ""), (7, "again and again"), (None, "no id"), (502, " w" * 20_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, capacity int")
     got = packing.pack_documents(df, shard_rows=100).collect()
     per_doc, per_bin = {}, {}
@@ -58,7 +85,7 @@ def test_packing_keeps_every_token(spark):
     expected = {}
     for d, t in rows:
         if t:
-            expected[d] = expected.get(d, 0) + len(t.split())
+            expected[d] = expected.get(d, 0) + count(t)
     assert per_doc == expected
     for own in per_bin.values():
         used, capacity = own[0].used, own[0].capacity
@@ -74,7 +101,7 @@ def test_best_fit_against_plain_search():
     rng = random.Random(2)
     for _ in range(30):
         lengths = sorted((rng.randint(1, 64) for _ in range(60)), reverse=True)
-        where, used = packing.best_fit(lengths, 32, (16, 32, 64))
+        where, _ = packing.best_fit(lengths, (16, 32, 64), 32)
         rooms: list[int] = []
         for n, b in zip(lengths, where, strict=True):
             fits = [r for r in rooms if r >= n]
@@ -84,18 +111,65 @@ def test_best_fit_against_plain_search():
                 assert b == len(rooms)
                 rooms.append(32 if n <= 32 else 64)
             rooms[b] -= n
-        trials = [sum(next(s for s in (16, 32, 64) if s >= u) + 5 for u in packing.best_fit(lengths, s, (16, 32, 64))[1]) for s in (16, 32, 64)]
+        trials = [sum(next(s for s in (16, 32, 64) if s >= u) + 5 for u in packing.best_fit(lengths, (16, 32, 64), s, 5)[1]) for s in (None, 16, 32, 64)]
         _, _, final = packing.pack(lengths, (16, 32, 64), 5)
         assert sum(final) + 5 * len(final) == min(trials)
 
 
+def optimum(lengths, sizes, overhead):
+    """Least cost over all partitions of the pieces."""
+    from functools import cache
+
+    n = len(lengths)
+    sums = [sum(x for i, x in enumerate(lengths) if m >> i & 1) for m in range(1 << n)]
+    cost = [min((s + overhead for s in sizes if s >= t), default=None) for t in sums]
+
+    @cache
+    def best(m):
+        if not m:
+            return 0
+        low, rest = m & -m, m & (m - 1)
+        part, out = rest, None
+        while True:
+            c = cost[part | low]
+            if c is not None:
+                c += best(rest & ~part)
+                out = c if out is None or c < out else out
+            if not part:
+                return out
+            part = (part - 1) & rest
+
+    return best((1 << n) - 1)
+
+
+def test_packing_is_near_the_optimum():
+    rng = random.Random(6)
+    ratios, single = [], []
+    for _ in range(60):
+        lengths = sorted((rng.choice([rng.randint(1, 12), rng.randint(8, 40)]) for _ in range(rng.randint(1, 9))), reverse=True)
+        _, used, final = packing.pack(lengths, (10, 20, 40), 3)
+        assert sum(used) == sum(lengths)
+        least = optimum(lengths, (10, 20, 40), 3)
+        ratios.append((sum(final) + 3 * len(final)) / least)
+        single.append(sum(packing.fits_of((10, 20, 40))[u] + 3 for u in packing.best_fit(lengths, (10, 20, 40), 40, 3)[1]) / least)
+    assert min(ratios) >= 1 and max(ratios) <= 1.25 and sum(ratios) < min(61.2, sum(single))
+
+
+def test_trial_fill():
+    left = packing._Remaining([5, 5, 3, 2, 1])
+    assert [left.filled(r) for r in (0, 1, 4, 10, 13, 100)] == [0, 1, 4, 10, 13, 16]
+    left.take(5)
+    assert left.filled(10) == 10 and left.filled(9) == 9
+
+
 def test_packing_of_nothing_and_layouts(spark):
     ddl = "doc_id long, text string"
     assert packing.pack_documents(spark.createDataFrame([], ddl)).collect() == []
-    df = spark.createDataFrame([(i, "w " * (i + 1)) for i in range(50)], ddl)
+    df = spark.createDataFrame([(i, " w" * (i + 1)) for i in range(50)], ddl)
     a, b = (sorted(tuple(r) for r in packing.pack_documents(d).collect()) for d in (df, df.repartition(7)))
     assert a == b
-    assert df.select(packing.token_estimate(F.lit("a b-c, é 12!"))).first()[0] == 8
+    words = packing.pack_documents(spark.createDataFrame([("x", "a b"), ("y", "c"), (None, "d e f")], "doc_id string, text string"), length=F.size(F.split("text", " "))).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.capacity, r.used) for r in words) == [("None", 3, 512, 6), ("x", 2, 512, 6), ("y", 1, 512, 6)]
 
 
 # -- token counts ----------------------------------------------------------
@@ -113,7 +187,7 @@ def random_text(rng, n):
 @pytest.mark.parametrize("seed", range(6))
 def test_tree_counts_after_edits(count, seed):
     rng = random.Random(seed)
-    counter = token_count._counter(token_count.encoding(token_count.default_ranks()))
+    counter = token_count.counter(token_count.default_ranks())
     text = random_text(rng, rng.choice([0, 1, 50, 800]))
     tree = token_count.TokenTree(text, counter, leaf_chars=rng.choice([1, 7, 64]))
     assert tree.n_tokens == count(text) and tree.text() == text
@@ -127,7 +201,7 @@ def test_tree_counts_after_edits(count, seed):
 
 
 def test_edits_touch_few_leaves(count):
-    counter = token_count._counter(token_count.encoding(token_count.default_ranks()))
+    counter = token_count.counter(token_count.default_ranks())
     tree = token_count.TokenTree("some words here " * 20_000, counter)
     tree.encoded = 0
     tree.edit(100_000, 3, "new")
@@ -150,6 +224,31 @@ def test_token_query_against_encoding(spark, count):
     assert token_count.digest(df.limit(0)).collect() == []
 
 
+def test_a_tree_from_stored_leaves(spark, count):
+    """The second run encodes nothing but what the edit touches; a state of another text is not used."""
+    text = "some words here " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "short text")], "doc_id long, text string")
+    kept = token_count.count_tokens(docs).collect()
+    assert [r.tokens.n_encoded_chars for r in kept] == [len(text), 0, 10]
+    edit = [(100_000, 3, "new")]
+    rows = [(r.doc_id, r.text, (r.tokens.leaf_chars, r.tokens.leaf_tokens), edit) for r in kept] + [(4, text, ([5], [1]), edit), (5, "abc", None, None), (6, "abc", ([1, None], [1, 1]), None)]
+    again = spark.createDataFrame(rows, f"doc_id long, text string, state {token_count.STATE_DDL}, edits {token_count.EDITS_DDL}")
+    got = {r.doc_id: r.tokens for r in token_count.count_tokens(again, edits=F.col("edits"), state=F.col("state"), keep_text=True).collect()}
+    edited = text[:100_000] + "new" + text[100_003:]
+    assert got[1].n_encoded_chars == got[1].n_reencoded_chars < 5_000 and got[4].n_encoded_chars > len(text)
+    for i in (1, 4):
+        assert got[i].n_tokens == count(text) and got[i].n_tokens_edited == count(edited) and got[i].text_edited == edited
+    assert got[2].text_edited == "new" and got[3].text_edited == "short textnew" and got[5].n_tokens == got[6].n_tokens == count("abc")
+
+
+def test_counts_by_cells(count, monkeypatch):
+    monkeypatch.setattr(token_count, "_CELLS", 50)
+    counter = token_count.counter(token_count.default_ranks())
+    rng = random.Random(11)
+    texts = [random_text(rng, rng.randint(0, 400)) for _ in range(300)] + ["x" * 1000, "", " ", "a  b", " a\n b"]
+    assert counter(texts) == [count(t) for t in texts]
+
+
 def test_gathered_edits(spark, count):
     docs = spark.createDataFrame([(1, "one two three"), (2, "x")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 2, 0, 3, "ONE"), (1, 1, 4, 3, "2")], "doc_id long, edit_no int, start long, n_delete long, insert string")
