@@ -11,13 +11,16 @@ That score is shared between shards.  Shards are groups of near vectors (nearest
 of ``n_centers`` centres, taken from a bounded sample), each with its own ball.
 In a first round every query searches its shard of largest bound; the k-th score
 it finds goes along to the second round, for which only the shards are kept whose
-bound reaches it.
+bound reaches it.  A shard is sent to the query blocks that want it and to no others.
+The number of centres grows with the table up to ``max_centers``; beyond that (2 M vectors by default) a
+centre's shards share one ball, so that fewer of them can be left out.  The result is exact either way.
 
 Defined results: rows without an id, and vectors that are null, empty or hold
 null, NaN or infinite components, take no part; query and candidate must have the same number of
 components; ties go to the smaller id; equal rows of one id count once for each
-row; a query with no candidate gives no row.  Scores are exact integers; one
-beyond 64 bits is returned as the nearest 64-bit value.
+row; a query with no candidate gives no row.  Scores, also those that prune, are exact
+integers; one beyond 64 bits is returned as the nearest 64-bit value.  Ids are whole
+numbers (others raise Spark's cast error); other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,10 +89,11 @@ def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Search:
     """The best ``k`` of each query of a block so far."""
 
-    def __init__(self, tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> None:
+    def __init__(self, tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: list, k: int) -> None:
         self.tree, self.ids, self.q, self.q_ids, self.floor, self.k = tree, ids[tree.order], q, q_ids, floor, k
         self.best: list[list[tuple]] = [[] for _ in q]
-        self.kth = floor.astype(float).copy()
+        self.kth: list[int | None] = [None if f is None or f <= -(2**63) else int(f) for f in floor]
+        self.bar = np.array([-np.inf if f is None else float(f) for f in self.kth])  # bounds are wider than its rounding
         norms = np.sqrt((q**2).sum(1))
         with np.errstate(over="ignore"):
             self.bound = q @ tree.centers.T + norms[:, None] * tree.radii[None, :]
@@ -98,7 +102,7 @@ class _Search:
         self.visited = 0
 
     def walk(self, node: int, rows: np.ndarray) -> None:
-        rows = rows[self.bound[rows, node] >= self.kth[rows]]
+        rows = rows[self.bound[rows, node] >= self.bar[rows]]
         if not len(rows):
             return
         lo, hi, left, right = self.tree.nodes[node]
@@ -114,7 +118,8 @@ class _Search:
         self.visited += len(rows) * (hi - lo)
         scores, ids = _dot(self.q[rows], self.tree.x[lo:hi]), self.ids[lo:hi]
         for r, row in zip(rows, scores, strict=True):
-            take = np.flatnonzero((row >= self.kth[r]) & (ids != self.q_ids[r]))
+            kth = self.kth[r]
+            take = np.flatnonzero((ids != self.q_ids[r]) if kth is None else (row >= kth) & (ids != self.q_ids[r]))
             if not len(take):
                 continue
             if len(take) > self.k and row.dtype != object:
@@ -123,10 +128,11 @@ class _Search:
             both = sorted(self.best[r] + [(-int(row[i]), int(ids[i])) for i in take])[: self.k]
             self.best[r] = both
             if len(both) == self.k:
-                self.kth[r] = max(self.kth[r], float(-both[-1][0]))
+                self.kth[r] = -both[-1][0] if kth is None else max(kth, -both[-1][0])
+                self.bar[r] = float(self.kth[r])
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: list, k: int) -> list[tuple[int, int, int]]:
     found = _Search(BallTree(x), ids, q, q_ids, floor, k)
     found.walk(0, np.arange(len(q)))
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
@@ -141,7 +147,7 @@ def _search_group(k: int):
     def run(key, xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(xs) or not len(qs):
             return pd.DataFrame([], columns=["query_id", "vec_id", "score"])
-        floor = qs["floor"].to_numpy(dtype=float, na_value=-np.inf)
+        floor = [None if f is None else int(f) for f in qs["floor"]]  # digits, as pandas has no long with nulls
         rows = search_block(_matrix(xs["v"]), xs["vec_id"].to_numpy(), _matrix(qs["q"]), qs["query_id"].to_numpy(), floor, k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
@@ -209,17 +215,20 @@ def top_k(
     scale: int = 256,
     shard_rows: int = 2048,
     query_rows: int = 2048,
-    sample_rows: int = 4096,
-    max_centers: int = 256,
+    sample_rows: int = 65_536,
+    max_centers: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest scores of every row for
     which ``is_query`` holds, against all rows but its own id.
 
-    To the driver go the sample and one row for each centre (at most
-    ``max_centers`` for each vector length), which is also all that is broadcast.
+    To the driver go a sample of 16 vectors a centre (4096 at least, ``sample_rows`` at
+    most) and one row for each centre (at most ``max_centers`` for each vector length),
+    which is also all that is broadcast.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantize(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
+    wanted = max(1, min(max_centers, base.count() // (shard_rows // 4)))
+    sample_rows = min(sample_rows, max(4096, 16 * wanted))
     sample = base.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -227,7 +236,6 @@ def top_k(
     per_dim: dict[int, list] = {}
     for a, b in zip(offsets, offsets[1:], strict=False):
         per_dim.setdefault(int(b - a), []).append(values[a:b])
-    wanted = max(1, min(max_centers, base.count() // (shard_rows // 4)))
     centers = {d: _lloyd(np.array(vs, dtype=np.float64), max(1, round(wanted * len(vs) / len(sample)))) for d, vs in per_dim.items()}
     near = _assign(spark.sparkContext.broadcast(centers))
     base = materialize(base.withColumn("near", near("v")).select("vec_id", "v", "asks", "dim", "near.*"))
@@ -250,15 +258,19 @@ def top_k(
     queries = queries.withColumn("home", home).select(
         "query_id", "q", "dim", "block", "bounds", F.struct("dim", (-F.col("home.c")).alias("center"), F.pmod(F.xxhash64("query_id"), F.col("home.salts")).cast("int").alias("salt")).alias("home")
     )
-    blocks = xs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def search(wanted: DataFrame) -> DataFrame:
+        pairs = materialize(wanted.select("shard", "block").distinct())
+        blocks = xs.join(pairs, "shard").select("shard", "block", "vec_id", "v")
         return blocks.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInPandas(_search_group(k), FOUND_DDL)
 
-    first = materialize(search(queries.select(F.col("home").alias("shard"), "block", "query_id", "q", F.lit(None).cast("double").alias("floor"))))
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k).select("query_id", "floor")
+    queries = materialize(queries)
+    first = materialize(search(queries.select(F.col("home").alias("shard"), "block", "query_id", "q", F.lit(None).cast("string").alias("floor"))))
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("query_id", "floor")
     left = queries.join(kth, "query_id", "left").withColumn("b", F.explode("bounds")).where("floor is null or b.bound >= floor")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("b.salts") - 1))).select(F.struct("dim", F.col("b.center").alias("center"), "salt").alias("shard"), "home", "block", "query_id", "q", "floor")
-    found = first.unionByName(search(left.where("shard != home").drop("home")))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("b.salts") - 1)))
+    left = left.select(F.struct("dim", F.col("b.center").alias("center"), "salt").alias("shard"), "home", "block", "query_id", "q", F.col("floor").cast("string").alias("floor"))
+    left = materialize(left.where("shard != home").drop("home"))
+    found = first.unionByName(search(left))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,9 +48,25 @@ def test_few_rows_huge_values_and_empty(spark):
     assert run(spark, big, 2) == brute(big, lambda q: q % 2 == 0)
 
 
+def test_shared_scores_beyond_doubles():
+    """200 ties at 2^53 + 3, with that score as the floor: the smaller ids are found."""
+    q = np.array([[1.0, 1.0]])
+    x = np.array([[2.0**53, 3.0]] * 200)
+    found = topk.search_block(x, np.arange(200), q, np.array([-1]), [2**53 + 3], 5)
+    assert sorted(i for _, i, _ in found) == [0, 1, 2, 3, 4] and {s for *_, s in found} == {2**53 + 3}
+    assert topk.search_block(x, np.arange(200), q, np.array([-1]), [2**53 + 4], 5) == []
+    assert len(topk.search_block(-x * 2.0**20, np.arange(200), q, np.array([-1]), [-(2**63)], 5)) == 5
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 7, "x") for i in range(10)], DDL + ", score int, shard string")
+    got = topk.top_k(df, is_query=F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 def test_branches_are_pruned():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(0, 3, (4000, 4)) * 256)
-    s = topk._Search(topk.BallTree(x), np.arange(4000), x[:5] * 3, np.arange(5), np.full(5, -np.inf), 5)
+    s = topk._Search(topk.BallTree(x), np.arange(4000), x[:5] * 3, np.arange(5), [None] * 5, 5)
     s.walk(0, np.arange(5))
     assert s.visited < 5 * 4000 / 3
