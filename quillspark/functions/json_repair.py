@@ -24,9 +24,13 @@ def strip_code_fences(text: Column) -> Column:
     return strip(F.regexp_replace(inner, r"\n?```\s*$", ""))
 
 
+# a whole string, which is kept, or a comma with only blanks before a closing bracket
+_STRING_OR_COMMA = r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])'
+
+
 def fix_common_issues(text: Column) -> Column:
-    """Without commas in front of a closing bracket (inside strings, too)."""
-    return F.regexp_replace(text, r",\s*([}\]])", "$1")
+    """Without commas in front of a closing bracket; strings stay as they are."""
+    return F.regexp_replace(text, _STRING_OR_COMMA, "$1")
 
 
 def first_object(text: str | None) -> str | None:
@@ -70,26 +74,27 @@ def parse_structured(df: DataFrame, text_col: str, schema: str, *, valid: Callab
 
     ``valid`` is a further condition on the struct.  All fields must be there.
     """
-    plain = strip_code_fences(F.col(text_col))
-    tries = df.withColumn("_t1", plain).withColumn("_t2", fix_common_issues(F.col("_t1")))
-    read = lambda c: F.when(F.try_parse_json(F.col(c)).isNotNull() & F.col(c).startswith("{"), F.from_json(F.col(c), schema, {"mode": "PERMISSIVE"}))
-
-    def checked(c: str) -> Column:
-        value = read(c)
-        names = [x.split()[0].split(":")[0].strip("`") for x in _fields(schema)]
-        good = F.lit(True)
-        for n in names:
-            good = good & value[n].isNotNull()
-        return F.when(F.coalesce(good & (valid(value) if valid else F.lit(True)), F.lit(False)), value)
-
-    tries = tries.withColumn("_v1", checked("_t1")).withColumn("_v2", checked("_t2"))
+    names = [x.split()[0].split(":")[0].strip("`") for x in _fields(schema)]
+
+    def checked(c: str, attempt: int) -> Column:
+        """(value, attempt) of a text that can be read; its JSON is parsed once."""
+
+        def good(v: Column) -> Column:
+            whole = F.lit(True)
+            for n in names:
+                whole = whole & v[n].isNotNull()
+            return F.when(F.coalesce(whole & (valid(v) if valid else F.lit(True)), F.lit(False)), F.struct(v.alias("value"), F.lit(attempt).alias("attempt")))
+
+        value = F.when(F.col(c).startswith("{") & F.try_parse_json(F.col(c)).isNotNull(), F.from_json(F.col(c), schema, {"mode": "PERMISSIVE"}))
+        return F.element_at(F.transform(F.array(value), good), 1)
+
+    tries = df.withColumn("_t1", strip_code_fences(F.col(text_col)))
+    tries = tries.withColumn("_t2", fix_common_issues(F.col("_t1"))).withColumn("_r", F.coalesce(checked("_t1", 1), checked("_t2", 2)))
     # Python runs only for the rows that neither attempt could read
-    tries = tries.withColumn("_t3", fix_common_issues(extract_object(F.when(F.col("_v1").isNull() & F.col("_v2").isNull(), F.col("_t1")))))
-    tries = tries.withColumn("_v3", checked("_t3"))
-    found = F.coalesce("_v1", "_v2", "_v3")
-    attempt = F.when(F.col("_v1").isNotNull(), 1).when(F.col("_v2").isNotNull(), 2).when(F.col("_v3").isNotNull(), 3)
-    error = F.when(found.isNull(), F.concat(F.lit("no JSON object of the schema in: "), F.coalesce(F.col(text_col), F.lit("NULL"))))
-    return tries.select(*df.columns, found.alias(out), error.alias(f"{out}_error"), attempt.alias(f"{out}_attempt"))
+    tries = tries.withColumn("_t3", fix_common_issues(extract_object(F.when(F.col("_r").isNull(), F.col("_t1")))))
+    tries = tries.withColumn("_r", F.coalesce("_r", checked("_t3", 3)))
+    error = F.when(F.col("_r").isNull(), F.concat(F.lit("no JSON object of the schema in: "), F.coalesce(F.col(text_col), F.lit("NULL"))))
+    return tries.select(*df.columns, F.col("_r.value").alias(out), error.alias(f"{out}_error"), F.col("_r.attempt").alias(f"{out}_attempt"))
 
 
 def _fields(schema: str) -> list[str]:
@@ -110,7 +115,7 @@ def parse_text(text: str, required: dict[str, type], valid: Callable[[dict], boo
     import re
 
     plain = re.sub(r"\n?```\s*$", "", re.sub(r"^```[A-Za-z0-9_-]*\s*\n?", "", text.strip())).strip()
-    fix = lambda t: re.sub(r",\s*([}\]])", r"\1", t)
+    fix = lambda t: re.sub(_STRING_OR_COMMA, lambda m: m[1] or "", t)
     for attempt in (lambda: plain, lambda: fix(plain), lambda: fix(first_object(plain) or "")):
         try:
             value = json.loads(attempt())

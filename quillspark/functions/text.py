@@ -1,11 +1,17 @@
-"""Scalar text expressions; all of them JVM-side."""
+"""Scalar text expressions, JVM-side; and digests of Python values on the driver."""
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+import hashlib
+import json
 import uuid
+from collections.abc import Callable, Mapping
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
 # Fixed value: matches what Python's str.strip() removes, and nothing else.
@@ -90,3 +96,48 @@ def hash_struct(*columns: str | Column, length: int = 64) -> Column:
 def serialize(*columns: str | Column) -> Column:
     """JSON text of columns, nested ones included."""
     return F.to_json(F.struct(*columns))
+
+
+Canonical = Callable[[Any], Any]
+
+
+class HasherRegistry:
+    """How Python values that JSON lacks are made canonical before they are hashed;
+    the nearest registered class of a value counts."""
+
+    def __init__(self) -> None:
+        self._known: dict[type, Canonical] = {}
+
+    def register(self, kind: type, canonical: Canonical, *, replace: bool = False) -> None:
+        if kind in self._known and not replace:
+            raise ValueError(f"{kind.__name__} is registered already")
+        self._known[kind] = canonical
+
+    def canonical(self, value: Any, *, ignore_unhashable: bool = False) -> Any:
+        """JSON-able form; a TypeError for a value of an unknown class, or its class's
+        name in place of it with ``ignore_unhashable``."""
+        kind = next((k for k in type(value).__mro__ if k in self._known), None)
+        again = functools.partial(self.canonical, ignore_unhashable=ignore_unhashable)
+        if kind is not None:
+            return again(self._known[kind](value))
+        if value is None or isinstance(value, str | bool | int | float):
+            return value
+        if isinstance(value, Mapping):
+            return {"map": sorted(([repr(k), again(v)] for k, v in value.items()), key=lambda pair: pair[0])}
+        if isinstance(value, Row):
+            return again(value.asDict())
+        if isinstance(value, list | tuple):
+            return [again(v) for v in value]
+        if dataclasses.is_dataclass(value) and not isinstance(value, type):
+            return again({"class": type(value).__name__, **{f.name: getattr(value, f.name) for f in dataclasses.fields(value)}})
+        if ignore_unhashable:
+            return {"unhashable": type(value).__name__}
+        raise TypeError(f"{type(value).__name__} is not hashable; register it")
+
+
+def hash_value(value: Any, registry: HasherRegistry | None = None, length: int = 64, *, ignore_unhashable: bool = False) -> str:
+    """Hex digest of any Python value of known classes, equal for equal values."""
+    if not 1 <= length <= 128:
+        raise ValueError(f"length must be between 1 and 128, got {length}")
+    plain = (registry or HasherRegistry()).canonical(value, ignore_unhashable=ignore_unhashable)
+    return hashlib.sha512(json.dumps(plain, sort_keys=True).encode()).hexdigest()[:length]

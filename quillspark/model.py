@@ -14,13 +14,16 @@ Metadata comes in three layouts, told apart by :class:`Metadata`:
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORD = "_ord"
 _NUMBERS = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
@@ -45,6 +48,44 @@ def json_path(key: str) -> str:
     return '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
 
 
+def _class_of(kind: T.DataType) -> str:
+    """Which Python values a column of this type can equal."""
+    if isinstance(kind, T.BooleanType):
+        return "truth"
+    if isinstance(kind, T.NumericType):
+        return "number"
+    return "text" if isinstance(kind, T.StringType) else kind.typeName()
+
+
+def _class_of_value(value: Any) -> str:
+    if isinstance(value, bool):
+        return "truth"
+    if isinstance(value, int | float | Decimal):
+        return "number"
+    names = {str: "text", datetime.datetime: "timestamp", datetime.date: "date", bytes: "binary", bytearray: "binary", list: "array", tuple: "array"}
+    return next((n for k, n in names.items() if isinstance(value, k)), "other")
+
+
+def comparable(a: T.DataType, b: T.DataType) -> bool:
+    """Whether values of two column types can be equal."""
+    alike = {"truth": "number", "timestamp_ntz": "timestamp"}
+    x, y = (alike.get(_class_of(k), _class_of(k)) for k in (a, b))
+    return x == y
+
+
+def as_literal(kind: T.DataType, value: Any) -> Any:
+    """``value`` as a column of type ``kind`` holds it, or None if it can equal none of
+    its values: booleans and numbers compare by value, other classes only with their own."""
+    own, given = _class_of(kind), _class_of_value(value)
+    if own == "number" and given in ("number", "truth"):
+        return int(value) if given == "truth" else value
+    if own == "truth" and given in ("number", "truth"):
+        return bool(value) if value in (0, 1) else None
+    if own == "timestamp_ntz" and given == "timestamp":
+        return value
+    return value if own == given else None
+
+
 @dataclass(frozen=True)
 class Metadata:
     kind: str
@@ -91,47 +132,71 @@ class Metadata:
             return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(True))
         return self.value(key).isNull()
 
-    def equals(self, key: str, value: Any) -> Column:
-        """Equality as between Python values: numbers and booleans compare by
-        value, never with strings; None equals an absent key."""
-        if value is None:
-            return self.is_missing_or_null(key)
-        if self.kind != "json":
-            return F.coalesce(self.value(key) == F.lit(value), F.lit(False)) if key in self.names or self.kind == "map" else F.lit(False)
-        kind = self._kind_of(key)
+    def type_of(self, key: str, schema: T.StructType | None) -> T.DataType | None:
+        """The type of a typed value, as far as the schema tells; None for JSON."""
+        name = key if self.kind == "columns" else self.names[0]
+        if self.kind == "json" or schema is None or name not in schema.names:
+            return None
+        found = schema[name].dataType
+        return found.valueType if self.kind == "map" else found
+
+    def _comparable(self, key: str) -> Column:
+        """One text for a JSON value, equal for values that are equal in Python; the
+        JSON is parsed once."""
+
+        def form(t: Column) -> Column:
+            number = F.when(t.isin("true", "false"), (t == "true").cast("double")).otherwise(t.try_cast("double"))
+            return F.when(t.rlike(r'^["{\[]'), t).otherwise(F.concat(F.lit("="), (number + 0.0).cast("string")))
+
+        return F.element_at(F.transform(F.array(F.to_json(self._variant(key))), form), 1)
+
+    @staticmethod
+    def _comparable_literal(value: Any) -> Column:
         if isinstance(value, bool | int | float):
-            number = kind.rlike(_NUMBERS) & (F.try_variant_get(self._variant(key), "$", "double") == F.lit(float(value)))
-            truth = (kind == "BOOLEAN") & (F.try_variant_get(self._variant(key), "$", "boolean").cast("int").cast("double") == F.lit(float(value)))
-            return F.coalesce(number | truth, F.lit(False))
-        if isinstance(value, str):
-            return F.coalesce((kind == "STRING") & (F.try_variant_get(self._variant(key), "$", "string") == F.lit(value)), F.lit(False))
-        return F.coalesce(F.to_json(self._variant(key)) == F.to_json(F.parse_json(F.lit(json.dumps(value)))), F.lit(False))
-
-    def is_in(self, key: str, values: Iterable[Any]) -> Column:
+            return F.concat(F.lit("="), F.lit(float(value)).cast("string"))
+        return F.to_json(F.parse_json(F.lit(json.dumps(value))))
+
+    def equals(self, key: str, value: Any, schema: T.StructType | None = None) -> Column:
+        """Equality as between Python values: numbers and booleans compare by
+        value, never with strings; None equals an absent key.  ``schema`` is the
+        rows' own, by which typed values are told apart."""
+        return self.is_in(key, [value], schema)
+
+    def is_in(self, key: str, values: Iterable[Any], schema: T.StructType | None = None) -> Column:
         values = list(values)
         plain = [v for v in values if v is not None]
-        if self.kind != "json" and plain:
-            known = key in self.names or self.kind == "map"
-            found = F.coalesce(self.value(key).isin(plain), F.lit(False)) if known else F.lit(False)
-        else:
+        if self.kind == "json":
+            found = F.coalesce(self._comparable(key).isin(*[self._comparable_literal(v) for v in plain]), F.lit(False)) if plain else F.lit(False)
+        elif not (key in self.names or self.kind == "map"):
             found = F.lit(False)
-            for v in plain:
-                found = found | self.equals(key, v)
+        else:
+            kind = self.type_of(key, schema)
+            wanted = plain if kind is None else [w for w in (as_literal(kind, v) for v in plain) if w is not None]
+            found = self.value(key) == F.lit(wanted[0]) if len(wanted) == 1 else self.value(key).isin(wanted) if wanted else F.lit(False)
+            found = F.coalesce(found, F.lit(False)) if len(plain) < len(values) or self.kind == "map" else found
         return found | self.is_missing_or_null(key) if len(plain) < len(values) else found
 
-    def between(self, key: str, lower: Any = None, upper: Any = None, *, strict: bool = False) -> Column:
+    def between(self, key: str, lower: Any = None, upper: Any = None, *, strict: bool = False, schema: T.StructType | None = None) -> Column:
         """Inclusive bounds, each optional; the key must be there.  A null or
         incomparable value is outside; with ``strict`` it raises."""
         there = self.has(key)
         bounds = [b for b in (lower, upper) if b is not None]
         if not bounds:
             return there
+        kind = self.type_of(key, schema)
         if self.kind == "json":
             text = isinstance(bounds[0], str)
             v = F.try_variant_get(self._variant(key), "$", "string" if text else "double")
             v = F.when(self._kind_of(key).rlike("^STRING$" if text else _NUMBERS), v)
-        else:
+        elif kind is None:
             v = self.value(key)
+        else:
+            own = _class_of(kind)
+            alike = all({"truth": "number"}.get(_class_of_value(b), _class_of_value(b)) == ("number" if own == "truth" else own) for b in bounds)
+            v = (self.value(key).cast("int") if own == "truth" else self.value(key)) if alike else F.lit(None)
+            if not alike and not strict:
+                return F.lit(False)
+            lower, upper = (int(b) if isinstance(b, bool) else b for b in (lower, upper))
         inside = F.lit(True)
         if lower is not None:
             inside = inside & (v >= F.lit(lower))
@@ -139,7 +204,8 @@ class Metadata:
             inside = inside & (v <= F.lit(upper))
         if strict:
             inside = F.when(v.isNull(), F.raise_error(F.lit(f"metadata value of {key!r} cannot be compared"))).otherwise(inside)
-        return there & F.coalesce(inside, F.lit(False))
+            return there & F.coalesce(inside, F.lit(False))
+        return there & (inside if kind is not None else F.coalesce(inside, F.lit(False)))
 
     # -- the whole ---------------------------------------------------------
     def canonical(self) -> Column:

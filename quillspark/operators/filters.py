@@ -9,43 +9,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..model import Metadata
+from ..model import Metadata, comparable
 
 
 def filter_by_metadata(df: DataFrame, meta: Metadata, key: str, value: Any) -> DataFrame:
-    """Rows whose ``key`` equals ``value``; None matches an absent key, too."""
-    if meta.kind == "columns" and value is not None and key in meta.names:
-        return df.where(F.col(key) == F.lit(value))  # plain, so that it is pushed into the scan
-    return df.where(meta.equals(key, value))
+    """Rows whose ``key`` equals ``value`` as a Python value would; None matches an
+    absent key, too.  Predicates over typed columns are plain and reach the scan."""
+    return df.where(meta.equals(key, value, df.schema))
 
 
 def filter_by_metadata_range(df: DataFrame, meta: Metadata, key: str, lower: Any = None, upper: Any = None, *, strict: bool = False) -> DataFrame:
     """Rows that have ``key`` with lower <= value <= upper, each bound optional."""
-    if meta.kind == "columns" and key in meta.names and not strict:
-        rows = df.where(F.col(key).isNotNull())
-        rows = rows.where(F.col(key) >= F.lit(lower)) if lower is not None else rows
-        return rows.where(F.col(key) <= F.lit(upper)) if upper is not None else rows
-    return df.where(meta.between(key, lower, upper, strict=strict))
-
-
-#: Above this many values a semi join replaces the IN list.
-MAX_IN_LIST = 1000
+    return df.where(meta.between(key, lower, upper, strict=strict, schema=df.schema))
 
 
 def filter_by_metadata_values(df: DataFrame, meta: Metadata, key: str, values: Iterable[Any] | DataFrame) -> DataFrame:
     """Rows whose ``key`` is one of ``values`` (none of an empty set).  A DataFrame
-    of one column, or a long list, becomes a left semi join."""
+    of one column becomes a left semi join; its type must be able to equal the key's."""
     if isinstance(values, DataFrame):
         wanted = values.select(F.col(values.columns[0]).alias("_wanted"))
-        return df.join(wanted, meta.value(key) == F.col("_wanted"), "left_semi")
-    values = list(values)
-    plain = [v for v in values if v is not None]
-    if meta.kind == "columns" and len(plain) == len(values) > MAX_IN_LIST:
-        wanted = df.sparkSession.createDataFrame([(v,) for v in plain], [key]).select(F.col(key).cast(df.schema[key].dataType).alias("_wanted"))
-        return df.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
-    if meta.kind == "columns" and key in meta.names and plain and len(plain) == len(values):
-        return df.where(F.col(key).isin(plain))
-    return df.where(meta.is_in(key, values))
+        kind = meta.type_of(key, df.schema)
+        if kind is not None and not comparable(kind, wanted.schema["_wanted"].dataType):
+            return df.where(F.lit(False))
+        own, other = meta.value(key), F.col("_wanted")
+        if kind is not None and "boolean" in (kind.typeName(), wanted.schema["_wanted"].dataType.typeName()):
+            own, other = own.cast("double"), other.cast("double")
+        return df.join(wanted, own == other, "left_semi")
+    return df.where(meta.is_in(key, values, df.schema))
 
 
 def find_empty_documents(df: DataFrame, *, treat_whitespace_as_empty: bool = False, content: str = "page_content") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ORD, Metadata
+from ..session import materialize
 
 
 def metadata_overview(df: DataFrame, meta: Metadata) -> DataFrame:
@@ -28,8 +29,16 @@ def metadata_profile(df: DataFrame, meta: Metadata, *, n_sample_values: int | No
     if it lacks a value.  Values are reduced to their first place before they are
     ranked, and only the first places are ranked.
     """
-    pairs = meta.pairs(df)
-    values = pairs.groupBy("key", "type", "is_complex", "value").agg(F.count("*").alias("n"), F.min(ORD).alias("first"))
+    return profile_of(value_table(df, meta), df.agg(F.count("*").alias("_total")), n_sample_values=n_sample_values, unit=unit)
+
+
+def value_table(df: DataFrame, meta: Metadata) -> DataFrame:
+    """One row a key, type and value: n and first (its first place).  Adds up with others."""
+    return meta.pairs(df).groupBy("key", "type", "is_complex", "value").agg(F.count("*").alias("n"), F.min(ORD).alias("first"))
+
+
+def profile_of(values: DataFrame, total: DataFrame, *, n_sample_values: int | None = 3, unit: str = "docs") -> DataFrame:
+    """The profile from a value table and the number of rows (one row, ``_total``)."""
     keys = values.groupBy("key").agg(
         F.sum("n").alias("present"),
         F.array_sort(F.collect_set("type")).alias("value_types"),
@@ -44,7 +53,6 @@ def metadata_profile(df: DataFrame, meta: Metadata, *, n_sample_values: int | No
     shown = F.coalesce(F.col("value"), F.lit("None"))
     joined = plain.select("key", "value", "first").join(keys.select("key", "_complex"), "key").where("_complex is null or first < _complex")
     samples = joined.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct(shown.alias("s"), "value"))), lambda x: x["value"]).alias("sample"))
-    total = df.agg(F.count("*").alias("_total"))
     out = keys.join(samples, "key", "left").crossJoin(F.broadcast(total))  # with one row
     more = F.col("_complex").isNotNull() if n_sample_values is None else F.col("_complex").isNotNull() | (F.col("_distinct") > n_sample_values)
     return out.select(
@@ -58,6 +66,32 @@ def metadata_profile(df: DataFrame, meta: Metadata, *, n_sample_values: int | No
     )
 
 
+class MetadataProfile:
+    """Incremental profile of documents or records: ``update`` with one frame after
+    another, ``result`` at any time.  The state is the value table, written to the shared folder."""
+
+    def __init__(self, meta: Metadata, *, n_sample_values: int | None = 3, unit: str = "docs") -> None:
+        self.meta, self.n_sample_values, self.unit = meta, n_sample_values, unit
+        self._state: DataFrame | None = None
+        self._total = self._rows = 0
+
+    def update(self, df: DataFrame) -> MetadataProfile:
+        new = value_table(df, self.meta).withColumn("first", F.col("first") + F.lit(self._rows))
+        if self._state is not None:
+            new = self._state.unionByName(new).groupBy("key", "type", "is_complex", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        self._state = materialize(new)
+        n, top = df.agg(F.count("*"), F.max(ORD)).first()
+        self._total += n
+        self._rows += 0 if top is None else top + 1
+        return self
+
+    def result(self) -> DataFrame:
+        if self._state is None:
+            raise ValueError("no rows yet; update with an empty frame for an empty profile")
+        total = self._state.sparkSession.createDataFrame([(self._total,)], "_total long")
+        return profile_of(self._state, total, n_sample_values=self.n_sample_values, unit=self.unit)
+
+
 def profile_flags(profile: DataFrame, unit: str = "docs") -> DataFrame:
     """``profile`` with ``flags``: what a reader should look at."""
     flags = F.array_compact(

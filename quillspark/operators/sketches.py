@@ -1,50 +1,43 @@
-"""Bloom filters: one for Python values, one built and probed by Spark."""
+"""Bloom filters, by Spark's own class."""
 
 from __future__ import annotations
 
-import hashlib
-import math
-
-from pyspark.sql import DataFrame
-
-
-def optimal_size(expected_items: int, fp_rate: float) -> int:
-    return max(8, int(-expected_items * math.log(fp_rate) / math.log(2) ** 2))
-
-
-def optimal_hash_count(size: int, expected_items: int) -> int:
-    return max(1, int(size / expected_items * math.log(2)))
+from pyspark.sql import DataFrame, SparkSession
 
 
 class BloomFilter:
-    """A fixed-size set with false positives at about ``fp_rate`` once
-    ``expected_items`` are in, and no false negatives."""
+    """A set of fixed size on the driver, with false positives at about ``fp_rate`` once
+    ``expected_items`` are in, and no false negatives.  Filters of equal sizes merge."""
 
-    def __init__(self, expected_items: int = 1_000_000, fp_rate: float = 0.01) -> None:
+    def __init__(self, expected_items: int = 1_000_000, fp_rate: float = 0.01, *, spark: SparkSession | None = None) -> None:
         if expected_items < 1 or not 0 < fp_rate < 1:
             raise ValueError("expected_items must be positive and fp_rate between 0 and 1")
-        self.size = optimal_size(expected_items, fp_rate)
-        self.hash_count = optimal_hash_count(self.size, expected_items)
-        self._bits = bytearray(-(-self.size // 8))
+        jvm = (spark or SparkSession.getActiveSession())._jvm
+        self._filter = jvm.org.apache.spark.util.sketch.BloomFilter.create(expected_items, fp_rate)
+
+    def _put(self, item: str | bytes) -> bool:
+        return self._filter.putString(item) if isinstance(item, str) else self._filter.putBinary(bytearray(item))
 
-    def _places(self, item: str | bytes) -> list[int]:
-        raw = hashlib.sha512(item.encode() if isinstance(item, str) else item).digest()
-        a, b = int.from_bytes(raw[:8], "big"), int.from_bytes(raw[8:16], "big") | 1
-        return [(a + i * b) % self.size for i in range(self.hash_count)]
+    def add(self, item: str | bytes) -> None:
+        self._put(item)
 
     def add_and_check(self, item: str | bytes) -> bool:
         """Add the item; whether it (probably) was there before."""
-        there = True
-        for p in self._places(item):
-            if not self._bits[p >> 3] >> (p & 7) & 1:
-                there = False
-                self._bits[p >> 3] |= 1 << (p & 7)
-        return there
+        return not self._put(item)  # Spark tells whether a bit changed
+
+    def merge(self, other: BloomFilter) -> BloomFilter:
+        self._filter.mergeInPlace(other._filter)
+        return self
 
     def __contains__(self, item: str | bytes) -> bool:
-        return all(self._bits[p >> 3] >> (p & 7) & 1 for p in self._places(item))
+        return self._filter.mightContainString(item) if isinstance(item, str) else self._filter.mightContainBinary(bytearray(item))
+
+    @property
+    def size(self) -> int:
+        """Bits."""
+        return self._filter.bitSize()
 
 
 def spark_bloom_filter(df: DataFrame, column: str, expected_items: int = 1_000_000, fp_rate: float = 0.01):
-    """Spark's own filter over a column, built by the executors; has ``mightContain``."""
+    """A filter over a column, built by the executors; has ``mightContain``."""
     return df._jdf.stat().bloomFilter(column, expected_items, fp_rate)

@@ -163,3 +163,67 @@ class ExactContentStats:
             raise ValueError("no rows yet; update with an empty frame for empty statistics")
         hist = self._state.groupBy("len").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.count("*").alias("n_distinct"), *[F.sum(f).alias(f) for f in _FLAGS])
         return _with_ids(stats_of_histogram(hist), self._state.select("id", F.col("first").alias(ORD)))
+
+
+class ApproxContentStats:
+    """Incremental approximate statistics.  The state is one row of counts and sketches
+    (KLL for the lengths, HyperLogLog for the distinct contents), whatever the number of
+    rows; every update is one aggregation, merged into the state and written to the shared folder.
+
+    Lengths' ranks are off by less than 1 % at the default ``k`` (99 % of the time); the number of distinct contents has a relative deviation of
+    1.04 / sqrt(2^``lg_k``).  ``duplicate_error`` reports the latter.
+    """
+
+    def __init__(self, *, meta: Metadata | None = None, content: str = "page_content", k: int = 400, lg_k: int = 14) -> None:
+        self.meta, self.content, self.k, self.lg_k = meta, content, k, lg_k
+        self._state: DataFrame | None = None
+        self._rows = 0
+
+    def update(self, df: DataFrame) -> ApproxContentStats:
+        body = F.coalesce(F.col(self.content), F.lit(""))
+        place = F.col(ORD) + F.lit(self._rows)
+        rows = df.select(place.alias("o"), "id", F.length(body).cast("long").alias("len"), F.xxhash64(body).alias("h"), *_flagged(df, self.meta, self.content))
+        new = rows.agg(
+            F.count("*").alias("count"),
+            F.coalesce(F.sum("len"), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(F.col("len").cast("decimal(38,0)") * F.col("len")), F.lit(0)).cast("decimal(38,0)").alias("squares"),
+            F.min(F.struct("len", "o", "id")).alias("low"),
+            F.max(F.struct(F.col("len"), (-F.col("o")).alias("o"), F.col("id"))).alias("high"),
+            *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in _FLAGS],
+            F.kll_sketch_agg_bigint("len", self.k).alias("lengths"),
+            F.hll_sketch_agg("h", self.lg_k).alias("contents"),
+            F.max("o").alias("top"),
+        )
+        if self._state is not None:
+            sums = [F.sum(c).alias(c) for c in ("count", "total")] + [F.sum("squares").cast("decimal(38,0)").alias("squares")]
+            merged = [F.kll_merge_agg_bigint("lengths").alias("lengths"), F.hll_union_agg("contents").alias("contents"), F.max("top").alias("top")]
+            new = self._state.unionByName(new).agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(f).alias(f) for f in _FLAGS], *merged)
+        self._state = materialize(new)
+        top = self._state.first()["top"]
+        self._rows = 0 if top is None else top + 1
+        return self
+
+    def result(self) -> DataFrame:
+        """The columns of :func:`content_stats_approx`."""
+        if self._state is None:
+            raise ValueError("no rows yet; update with an empty frame for empty statistics")
+        n, total = F.col("count"), F.col("total")
+        spread = (F.col("squares") * n - total.cast("decimal(38,0)") * total).cast("double")
+        some = n > 0
+        quantiles = [F.when(some, F.kll_sketch_get_quantile_bigint("lengths", F.lit(p / 100))).otherwise(0).cast("int").alias(f"p{p}_chars_approx") for p in PERCENTILES]
+        return self._state.select(
+            n,
+            total.alias("total_chars"),
+            F.when(some, total / n).otherwise(F.lit(0.0)).alias("avg_chars"),
+            F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))) / n).otherwise(F.lit(0.0)).alias("std_dev_chars"),
+            F.col("low.len").cast("int").alias("min_chars"),
+            F.col("high.len").cast("int").alias("max_chars"),
+            F.col("low.id").alias("min_doc_id"),
+            F.col("high.id").alias("max_doc_id"),
+            *quantiles,
+            *_FLAGS,
+            F.greatest(F.lit(0), n - F.hll_sketch_estimate("contents")).cast("long").alias("approx_duplicate_count"),
+            F.lit(False).alias("duplicate_count_exact"),
+            F.lit(False).alias("percentiles_exact"),
+            F.lit(1.04 / 2 ** (self.lg_k / 2)).alias("duplicate_error"),
+        )

@@ -5,6 +5,7 @@ A model is a callable registered under a name; nothing is downloaded or imported
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -46,6 +47,10 @@ class CachingModel:
             self._known[key] = self.model(list(messages), **extra)
         return self._known[key]
 
+    async def acall(self, messages: Sequence[dict], stop: Sequence[str] | None = None, **kwargs: Any) -> Any:
+        """The same without holding up the event loop."""
+        return await asyncio.to_thread(self, messages, stop, **kwargs)
+
 
 class AgentFactory:
     """An agent: a model behind message coercion and a system prompt."""

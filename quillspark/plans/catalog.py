@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -143,6 +144,16 @@ def content_stats_approx_exact_fields(spark: SparkSession, sf_dir: str) -> DataF
     return out.select("count", "total_chars", F.round("avg_chars", 6).alias("avg_chars"), F.round("std_dev_chars", 6).alias("std_dev_chars"), "min_chars", "max_chars")
 
 
+@query(ORACLE_SQL["content_stats_approx_exact_fields"])
+def content_stats_approx_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three updates with the rows of the languages en, fr and the others."""
+    state = stats.ApproxContentStats(meta=DOC_META)
+    rows = docs(spark, sf_dir)
+    for part in (F.col("lang") == "en", F.col("lang") == "fr", ~F.col("lang").isin("en", "fr")):
+        state.update(rows.where(part))
+    return state.result().select("count", "total_chars", F.round("avg_chars", 6).alias("avg_chars"), F.round("std_dev_chars", 6).alias("std_dev_chars"), "min_chars", "max_chars")
+
+
 @query("SELECT length(text)::INTEGER AS len, count(*) AS n FROM documents GROUP BY 1")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.length_histogram(docs(spark, sf_dir)).select("len", "n")
@@ -160,7 +171,10 @@ FROM r GROUP BY key"""
 
 
 def _profile(df: DataFrame, meta: Metadata, unit: str) -> DataFrame:
-    out = profile.metadata_profile(df, meta, unit=unit)
+    return _profile_columns(profile.metadata_profile(df, meta, unit=unit))
+
+
+def _profile_columns(out: DataFrame) -> DataFrame:
     return out.withColumns({"value_types": F.array_join("value_types", "/"), "unique_values_sample": F.array_join("unique_values_sample", "|", "None")})
 
 
@@ -169,6 +183,18 @@ def metadata_profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(labelled(spark, sf_dir), Metadata.columns("lang", "source", "n_chars", "quality", "toxic"), "docs")
 
 
+@query(ORACLE_SQL["metadata_profile_documents"])
+def metadata_profile_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profile from four updates."""
+    rows, meta = labelled(spark, sf_dir), Metadata.columns("lang", "source", "n_chars", "quality", "toxic")
+    state = profile.MetadataProfile(meta)
+    n = rows.agg(F.max(ORD)).first()[0] + 1
+    for part in range(4):
+        low, high = part * n // 4, (part + 1) * n // 4
+        state.update(rows.where((F.col(ORD) >= low) & (F.col(ORD) < high)).withColumn(ORD, F.col(ORD) - low))
+    return _profile_columns(state.result())
+
+
 _EVENTS = "(SELECT CAST(event_id AS VARCHAR) AS id, event_id AS o, event_type, user_id, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
 
@@ -275,6 +301,20 @@ def filter_range_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_by_metadata_range(labelled(spark, sf_dir), Metadata.columns("toxic"), "toxic").select("id")
 
 
+@query(f"SELECT 'quality is True' AS filter, id FROM {_LABELLED} WHERE quality = 1 UNION ALL SELECT 'toxic in (''1'', 0.0)', id FROM {_LABELLED} WHERE toxic = 0")
+def filter_by_python_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Booleans and numbers compare by value; strings equal no number, numbers no string."""
+    rows, meta = labelled(spark, sf_dir), Metadata.columns("lang", "source", "n_chars", "quality", "toxic")
+    found = {
+        "quality is True": filters.filter_by_metadata(rows, meta, "quality", True),
+        "toxic in ('1', 0.0)": filters.filter_by_metadata_values(rows, meta, "toxic", ["1", 0.0]),
+        "source is 1": filters.filter_by_metadata(rows, meta, "source", 1),
+        "n_chars is a string": filters.filter_by_metadata_range(rows, meta, "n_chars", "0"),
+    }
+    parts = [df.select(F.lit(k).alias("filter"), "id") for k, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE source IN ('src1', 'src7', 'src19')")
 def filter_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_by_metadata_values(docs(spark, sf_dir), DOC_META, "source", {"src1", "src7", "src19"}).select("id", "source")
@@ -682,6 +722,26 @@ def json_repair_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("p.k").alias("k"), F.col("p_attempt").alias("attempt"))
 
 
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 2 = 1 AS used_fallback, event_id AS input_tokens FROM events")
+def structured_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that gives a native value for even events and JSON within a fence for the others."""
+
+    def model(messages: list[dict]) -> dict:
+        event, props = messages[-1]["content"].split(" ", 1)
+        native = {"parsed": json.loads(props)} if int(event) % 2 == 0 else {}
+        return {"content": f"```json\n{props}\n```", "usage_metadata": {"input_tokens": int(event)}} | native
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_id", "props").alias("said"))
+    out = runs.structured_calls(rows, "said", model, "k bigint", system_prompt="Answer in JSON.")
+    return out.select("event_id", F.col("parsed.k").alias("k"), "used_fallback", "input_tokens")
+
+
+@query("SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id)::BIGINT AS total_input_tokens, count(*) OVER (ORDER BY doc_id) AS total_output_tokens FROM documents")
+def accumulated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(None).cast("int").alias("total_tokens"))
+    return runs.accumulated_usage(rows, "doc_id").select("doc_id", "total_input_tokens", "total_output_tokens")
+
+
 @query("SELECT 'a' AS col UNION ALL SELECT 'c'")
 def drop_null_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, None, None), (2, None, "x"), (3, None, None)], "a int, b string, c string")
@@ -742,6 +802,24 @@ def stream_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.percentiles_of(_drain(spark, incremental.stream_length_histogram(_stream(spark, sf_dir)), "complete"))
 
 
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS output, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as chunks that come in three micro-batches."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    base = f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    for part in range(3):
+        rows.where(F.col("turn") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
+
+    incremental.stream_chunks(stream, put, f"{base}/checkpoint", run_id="conv_id", seq="turn", chunk="text").awaitTermination()
+    seen = spark.read.schema("conv_id long, output string, n_chunks long, epoch int").parquet(f"{base}/out")
+    latest = F.max_by(F.struct("output", "n_chunks"), "epoch").alias("r")  # the sink keeps a run's latest row
+    return seen.groupBy("conv_id").agg(latest).select("conv_id", "r.*")
+
+
 @query(f"SELECT id FROM {_DOCS}")
 def stream_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StoreTable.in_memory(spark)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import asyncio
 import dataclasses
+import functools
 import hashlib
 import json
+import logging
+import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import AsyncIterator, Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any, Generic, TypeVar
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, json_repair
 from ..session import materialize, scratch_dir, ship_package
 
+logger = logging.getLogger(__name__)
 U = TypeVar("U")
 V = TypeVar("V")
 RESERVED = frozenset({"input", "output", "timestamp", "run_id", "error"})
@@ -81,73 +85,123 @@ class Run:
         return done.select(*df.columns, F.col("_r.value").alias(output_col), F.col("_r.error").alias("error"))
 
 
+@functools.singledispatch
 def default_serialize(value: Any) -> Any:
-    """Dataclass objects, mappings and sequences to JSON-able values, at any depth;
-    objects with ``model_dump`` by it, other values as they are."""
-    if hasattr(value, "model_dump"):
-        return default_serialize(value.model_dump())
-    if dataclasses.is_dataclass(value) and not isinstance(value, type):
-        return {f.name: default_serialize(getattr(value, f.name)) for f in dataclasses.fields(value)}
-    if isinstance(value, dict):
-        return {k: default_serialize(v) for k, v in value.items()}
-    return [default_serialize(v) for v in value] if isinstance(value, list | tuple) else value
+    """JSON-able form at any depth: what an object dumps itself as, or its fields if it is a
+    dataclass; mappings and sequences by their members; other values as they are."""
+    if isinstance(value, type):
+        return value
+    inner = value.model_dump() if hasattr(value, "model_dump") else dict(dataclasses.asdict(value)) if dataclasses.is_dataclass(value) else None
+    return value if inner is None else default_serialize(inner)
+
+
+@default_serialize.register(Mapping)
+def _(value: Mapping) -> dict:
+    return dict(zip(value, map(default_serialize, value.values()), strict=True))
+
+
+@default_serialize.register(list)
+@default_serialize.register(tuple)
+def _(value: Sequence) -> list:
+    return list(map(default_serialize, value))
 
 
 def default_key(value: Any) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, default=repr).encode()).hexdigest()
+    """The same key as :func:`text_key` gives for a column of texts."""
+    plain = f"s{value}" if isinstance(value, str) else f"j{json.dumps(value, sort_keys=True, default=repr)}"
+    return hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(F.encode(F.coalesce(F.concat(F.lit("s"), text), F.lit("jnull")), "UTF-8"), 256)
 
 
 class CacheTable:
-    """key, value as append-only Parquet; the oldest entry of a key counts."""
+    """key, value as append-only Parquet; the oldest entry of a key counts.  A value
+    is a text, or JSON where ``is_json``."""
+
+    schema = "key string, value string, is_json boolean, at timestamp"
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or f"{scratch_dir(spark)}/cache-{uuid.uuid4().hex}"
-        self.written = False
 
-    def rows(self) -> DataFrame:
+    def _entries(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], "key string, value string")
-        return self.spark.read.schema("key string, value string").parquet(self.path)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def rows(self, keys: Sequence[str] | None = None) -> DataFrame:
+        """key, value, is_json: one row a key (of ``keys``, if given)."""
+        found = self._entries()
+        found = found if keys is None else found.where(F.col("key").isin(list(keys)))
+        oldest = F.min_by(F.struct("value", "is_json"), F.struct("at", "value")).alias("v")
+        return found.groupBy("key").agg(oldest).select("key", "v.*")
 
     def add(self, entries: DataFrame) -> None:
-        entries.select("key", "value").write.mode("append").parquet(self.path)
+        """``entries``: key, value and, if not false, is_json."""
+        kind = F.col("is_json") if "is_json" in entries.columns else F.lit(False)
+        entries.select("key", "value", kind.alias("is_json"), F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+
+    def look_up(self, keys: Sequence[str]) -> dict[str, Any]:
+        return {r.key: json.loads(r.value) if r.is_json and r.value is not None else r.value for r in self.rows(keys).collect()} if keys else {}
+
+    def put(self, values: dict[str, Any]) -> None:
+        """Python values on the driver; those that JSON cannot hold raise a TypeError."""
+        rows = [(k, v if isinstance(v, str) or v is None else json.dumps(default_serialize(v)), not (isinstance(v, str) or v is None)) for k, v in values.items()]
+        if rows:
+            self.add(self.spark.createDataFrame(rows, "key string, value string, is_json boolean"))
 
 
 class CachingRun(Run):
     """Calls with a known key are not made again; a cached NULL is a hit.  Failed
-    calls are not kept."""
+    calls are not kept.  One table serves ``invoke``, ``batch`` and ``transform``; without
+    one, ``invoke`` and ``batch`` keep the latest ``keep`` results in memory."""
 
-    def __init__(self, run: Run, cache: CacheTable | None = None, key_fn: Callable[[Any], str] = default_key) -> None:
+    def __init__(self, run: Run, cache: CacheTable | None = None, key_fn: Callable[[Any], str] = default_key, *, keep: int = 10_000) -> None:
         super().__init__(run.fn)
-        self.run, self.cache, self.key_fn = run, cache, key_fn
+        self.run, self.cache, self.key_fn, self.keep = run, cache, key_fn, keep
         self._local: dict[str, Any] = {}
 
+    def _known(self, keys: Sequence[str]) -> dict[str, Any]:
+        return self.cache.look_up(list(dict.fromkeys(keys))) if self.cache else {k: self._local[k] for k in keys if k in self._local}
+
+    def _keep(self, made: dict[str, Any]) -> None:
+        if self.cache:
+            self.cache.put(made)
+            return
+        self._local |= made
+        for k in list(self._local)[: max(0, len(self._local) - self.keep)]:
+            del self._local[k]
+
     def invoke(self, value: Any, config: dict | None = None) -> Any:
         key = self.key_fn(value)
-        if key not in self._local:
-            self._local[key] = self.run.invoke(value, config)
-        return self._local[key]
+        known = self._known([key])
+        if key not in known:
+            known[key] = self.run.invoke(value, config)
+            self._keep(known)
+        return known[key]
 
     def batch(self, values: Sequence[Any], config: Any = None, *, return_exceptions: bool = False) -> list[Any]:
+        """One batch for the inputs of unknown keys; equal ones are computed each."""
         keys = [self.key_fn(v) for v in values]
-        known = {k: self._local[k] for k in keys if k in self._local}
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        made = self.run.batch([values[i] for i in missing], config, return_exceptions=return_exceptions)
-        out = {i: m for i, m in zip(missing, made, strict=True)}
-        self._local |= {keys[i]: m for i, m in out.items() if not isinstance(m, Exception)}
-        return [out[i] if i in out else known[k] for i, k in enumerate(keys)]
+        known = self._known(keys)
+        places = [i for i, k in enumerate(keys) if k not in known]
+        configs = [config[i] for i in places] if isinstance(config, list) else config
+        made = dict(zip(places, self.run.batch([values[i] for i in places], configs, return_exceptions=return_exceptions), strict=True))
+        self._keep({keys[i]: m for i, m in made.items() if not isinstance(m, Exception)})
+        return [made[i] if i in made else known[k] for i, k in enumerate(keys)]
 
     def transform(self, df: DataFrame, input_col: str, *, output_col: str = "output", key: Column | None = None) -> DataFrame:
         """Hits by a left join with the cache, one call for each distinct miss."""
         if self.cache is None:
             raise ValueError("a cache table is needed")
-        keyed = df.withColumn("_key", F.sha2(F.to_json(F.struct(F.col(input_col))), 256) if key is None else key)
+        keyed = df.withColumn("_key", text_key(F.col(input_col)) if key is None else key)
         known = self.cache.rows()
         misses = keyed.select("_key", F.col(input_col).alias("_in")).dropDuplicates(["_key"]).join(known, F.col("_key") == known["key"], "left_anti")
         made = self.run.transform(misses, "_in", output_col="value").where("error is null")
         self.cache.add(made.select(F.col("_key").alias("key"), "value"))
-        now = self.cache.rows().dropDuplicates(["key"]).withColumnsRenamed({"key": "_k", "value": output_col})
+        now = self.cache.rows().select(F.col("key").alias("_k"), F.col("value").alias(output_col))
         return keyed.join(now, keyed["_key"] == now["_k"], "left").select(*df.columns, output_col)
 
 
@@ -231,6 +285,21 @@ class RecordingRun(Run):
         finally:
             self._record([(value, "".join(parts), error, config)])
 
+    async def astream(self, chunks: Callable[[Any], AsyncIterator[str]], value: Any, config: dict | None = None) -> AsyncIterator[str]:
+        """:meth:`stream` over an asynchronous iterator."""
+        self._merged(config)
+        parts: list[str] = []
+        error = None
+        try:
+            async for c in chunks(value):
+                parts.append(c)
+                yield c
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            await asyncio.to_thread(self._record, [(value, "".join(parts), error, config)])
+
     def transform(self, df: DataFrame, input_col: str, *, output_col: str = "output", run_id: str | None = None) -> DataFrame:
         """Calls over a column; one record a row is added to the store."""
         done = self.run.transform(df, input_col, output_col=output_col)
@@ -256,18 +325,105 @@ def structured_output(df: DataFrame, raw_col: str, schema: str, *, native_col: s
     return out.drop(*drop)
 
 
+@dataclass(frozen=True)
+class StructuredReply:
+    """What a call for structured output gave."""
+
+    parsed: dict[str, Any] | None
+    raw: str
+    seconds: float
+    usage: dict[str, int]
+    used_fallback: bool
+    error: str | None
+
+
+def _usage(reply: Any) -> dict[str, int]:
+    found = (reply.get("usage_metadata") or {}) if isinstance(reply, Mapping) else {}
+    return {k: int(found.get(k) or 0) for k in chat.USAGE}
+
+
+def invoke_structured_llm(spark: SparkSession, llm: Callable[[list[dict]], Any], value: Any, schema: str, *, system_prompt: str | None = None, raise_error: bool = True) -> StructuredReply:
+    """One call of ``llm`` for a value of ``schema`` (a struct's DDL).
+
+    ``llm`` gets messages and gives a text, or a mapping with ``content``, maybe ``parsed`` (the native
+    output) and ``usage_metadata``.  Without a native output the text is read as JSON,
+    with the repairs of ``json_repair``.  Time and tokens are logged."""
+    began = time.perf_counter()
+    reply = llm(chat.coerce_value(value, system_prompt))
+    seconds = time.perf_counter() - began
+    raw = reply if isinstance(reply, str) else str(reply.get("content") or "")
+    native = None if isinstance(reply, str) else reply.get("parsed")
+    usage = _usage(reply)
+    logger.info("structured call: %.2f s, tokens in %d, out %d, total %d", seconds, *usage.values())
+    if native is not None:
+        return StructuredReply(default_serialize(native), raw, seconds, usage, False, None)
+    row = structured_output(spark.createDataFrame([(raw,)], "raw string"), "raw", schema).first()
+    if row.parsed is None and raise_error:
+        raise StructuredOutputError(row.parsed_error)
+    return StructuredReply(row.parsed.asDict(True) if row.parsed is not None else None, raw, seconds, usage, row.used_fallback, row.parsed_error)
+
+
+async def ainvoke_structured_llm(spark: SparkSession, llm: Callable[[list[dict]], Any], value: Any, schema: str, **options: Any) -> StructuredReply:
+    """The same without holding up the event loop."""
+    return await asyncio.to_thread(invoke_structured_llm, spark, llm, value, schema, **options)
+
+
+def structured_calls(df: DataFrame, input_col: str, llm: Callable[[list[dict]], Any], schema: str, *, system_prompt: str | None = None) -> DataFrame:
+    """A call a row, on the executors: ``df`` with raw, native and fallback read into ``parsed``,
+    ``parsed_error``, ``used_fallback``, ``seconds`` and the token counters."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("raw string, native string, error string, seconds double, input_tokens long, output_tokens long, total_tokens long")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            rows = []
+            for v in values:
+                began, native, error, reply = time.perf_counter(), None, None, None
+                try:
+                    reply = llm(chat.coerce_value(v, system_prompt))
+                    if isinstance(reply, Mapping) and reply.get("parsed") is not None:
+                        native = json.dumps(default_serialize(reply["parsed"]))
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                raw = reply if isinstance(reply, str) or reply is None else str(reply.get("content") or "")
+                rows.append((raw, native, error, time.perf_counter() - began, *_usage(reply).values()))
+            yield pd.DataFrame(rows, columns=["raw", "native", "error", "seconds", *chat.USAGE])
+
+    done = materialize(df.withColumn("_c", call.asNondeterministic()(F.col(input_col))))  # calls are made once
+    flat = done.select(*df.columns, "_c.*").withColumn("_native", F.from_json("native", schema))
+    out = structured_output(flat, "raw", schema, native_col="_native", include_raw=True)
+    return out.withColumn("parsed_error", F.coalesce("error", "parsed_error")).drop("native", "_native", "error")
+
+
 class ChatRun(Run):
     """A model over message lists: coerces the input, calls ``fn`` with the
-    messages, and gives them with the reply at the end."""
+    messages, and gives them with the reply at the end; a reply's ``parsed`` value comes
+    as ``structured_response``."""
 
-    def __init__(self, fn: Callable[[list[dict]], str | dict], *, system_prompt: str | None = None) -> None:
+    def __init__(self, fn: Callable[[list[dict]], str | dict], *, system_prompt: str | None = None, chunks: Callable[[list[dict]], Iterator[str]] | None = None) -> None:
         super().__init__(fn)
-        self.system_prompt = system_prompt
+        self.system_prompt, self.chunks = system_prompt, chunks
 
     def invoke(self, value: Any, config: dict | None = None) -> dict:
         messages = chat.coerce_value(value, self.system_prompt)
         reply = self.fn(messages)
-        return {"messages": [*messages, {"role": "assistant", "content": reply} if isinstance(reply, str) else {"role": "assistant"} | reply]}
+        said = {"content": reply} if isinstance(reply, str) else {k: v for k, v in reply.items() if k != "parsed"}
+        out = {"messages": [*messages, {"role": "assistant"} | said]}
+        return out | ({"structured_response": reply["parsed"]} if isinstance(reply, Mapping) and reply.get("parsed") is not None else {})
+
+    def stream(self, value: Any, config: dict | None = None) -> Iterator[str]:
+        """The reply's chunks as the model gives them; the whole reply at once if it has none."""
+        messages = chat.coerce_value(value, self.system_prompt)
+        if self.chunks is not None:
+            yield from self.chunks(messages)
+        else:
+            reply = self.fn(messages)
+            yield reply if isinstance(reply, str) else str(reply.get("content") or "")
+
+    async def astream(self, value: Any, config: dict | None = None) -> AsyncIterator[str]:
+        rest, end = self.stream(value, config), object()
+        while (c := await asyncio.to_thread(next, rest, end)) is not end:
+            yield c
 
     def batch(self, values: Sequence[Any], config: Any = None, *, return_exceptions: bool = False) -> list[Any]:
         out = []
@@ -298,6 +454,18 @@ class ChatRun(Run):
 
 
 def accumulated_usage(df: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
-    """Running sums of the token counters."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).alias(f"total_{c}") for c in chat.USAGE])
+    """Running sums of the token counters, by groups or over all rows.
+
+    Over all rows, the rows are dealt into ranges of ``order``; the sums of the ranges
+    before it (one row a range) are added to each range's own running sums, so no
+    task holds more than its range."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).alias(f"total_{c}") for c in chat.USAGE])
+    ranges = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy("_range").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"_{c}") for c in chat.USAGE])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sums.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in chat.USAGE])
+    own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.join(offsets, "_range")
+    return rows.select(*df.columns, *[(F.sum(F.coalesce(F.col(c), F.lit(0))).over(own) + F.col(f"_{c}")).alias(f"total_{c}") for c in chat.USAGE])

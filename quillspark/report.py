@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import pprint
+import re
+import sys
+import time
+from collections.abc import Iterable, Iterator
+from typing import Any, TextIO, TypeVar
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.profile import profile_flags
 
 
+V = TypeVar("V")
+
+
 def _share(n: int, total: int) -> str:
     return f"{n:,} ({100 * n / total:.1f} %)" if total else f"{n:,}"
 
@@ -63,3 +73,32 @@ def document_report(df: DataFrame, n: int = 20, max_length: int = 300, content:
         cut = row.pop("_cut")
         lines += [f"[{row.pop('id', None)}] " + ", ".join(f"{k}={v}" for k, v in row.items() if not k.startswith("_")), cut["content"] + (" …" if cut["truncated"] else ""), ""]
     return "\n".join(lines)
+
+
+def markdown_report(text: str) -> str:
+    """Markdown as plain text for a terminal: headings underlined, marks taken off."""
+    lines = []
+    for line in text.splitlines():
+        head = re.match(r"(#{1,6})\s+(.*)", line)
+        plain = re.sub(r"(\*\*|__|`)(.+?)\1", r"\2", head[2] if head else line)
+        plain = re.sub(r"\[([^\]]*)\]\(([^)]*)\)", r"\1 (\2)", plain)
+        lines += [plain, ("=" if head[1] == "#" else "-") * len(plain)] if head else [re.sub(r"^(\s*)[-*+] ", "\\1\N{BULLET} ", plain)]
+    return "\n".join(lines)
+
+
+def pretty_report(value: Any, width: int = 100) -> str:
+    """Any value, nested ones indented."""
+    return pprint.pformat(value, width=width, sort_dicts=False)
+
+
+def progress(items: Iterable[V], *, total: int | None = None, label: str = "", every: float = 1.0, out: TextIO | None = None) -> Iterator[V]:
+    """Passes ``items`` on and writes a line about them every ``every`` seconds and at the end."""
+    out = out or sys.stderr
+    began = last = time.monotonic()
+    n = 0
+    for n, item in enumerate(items, 1):
+        yield item
+        if time.monotonic() - last >= every:
+            last = time.monotonic()
+            out.write(f"{label or 'progress'}: {n}{f' of {total}' if total else ''}, {last - began:.0f} s\n")
+    out.write(f"{label or 'progress'}: {n}{f' of {total}' if total else ''}, done in {time.monotonic() - began:.1f} s\n")

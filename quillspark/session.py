@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only
-    where the session has none (one machine, tests) a temporary folder is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where the
+    session has none, a temporary folder is set if all runs on this machine
+    (a local master); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,4 +75,28 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in getattr(spark.sparkContext, "_quillspark_scopes", []):
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Within it intermediate tables are noted in a list; those that are still in the
+    list at the end are deleted.  Take out the last one to keep a written result."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quillspark_scopes"):
+        sc._quillspark_scopes = []
+    tables: list[str] = []
+    sc._quillspark_scopes.append(tables)
+    try:
+        yield tables
+    finally:
+        sc._quillspark_scopes.remove(tables)
+        delete_tables(spark, tables)
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -268,13 +268,20 @@ class StoreTable:
         bucket = self.spark.sql("SELECT 1").select(self._bucket(F.lit(id_))).first()[0]
         return self._ordered(self._rows([bucket]).where(F.col("id") == F.lit(id_))).first()
 
+    def _requested(self, ids: Sequence[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The ids with ``pos``, and the stored rows of these ids: only their buckets are
+        read, and the rows are reduced to them before anything is joined."""
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
+        buckets = [r[0] for r in ids.where("id is not null").select(self._bucket(F.col("id"))).distinct().collect()]  # at most n_buckets
+        return ids, self._rows(buckets).join(ids.select("id"), "id", "left_semi")
+
     def get_many(self, ids: Sequence[str] | DataFrame) -> DataFrame:
         """One row for each requested id, in order of ``pos``; NULLs where there is
         none, repeated ids repeated.  Take ``found`` to tell."""
         self._check_open()
-        if not isinstance(ids, DataFrame):
-            ids = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
-        rows = self._ordered(self._rows()).withColumn("found", F.lit(True)).withColumnRenamed("id", "_id")
+        ids, own = self._requested(ids)
+        rows = self._ordered(own).withColumn("found", F.lit(True)).withColumnRenamed("id", "_id")
         joined = ids.join(rows, ids.id == rows["_id"], "left")
         return joined.select("pos", "id", F.coalesce("found", F.lit(False)).alias("found"), *[c for c in self.columns if c != "id"]).orderBy("pos")
 
@@ -290,7 +297,7 @@ class StoreTable:
         rows = self._rows()
         for key, value in metadata.items():
             if self.metadata_schema is not None and key in self.metadata_schema:
-                rows = rows.where(F.col(f"`{key}`").isNull() if value is None else F.col(f"`{key}`") == F.lit(value))
+                rows = rows.where(Metadata.columns(key).equals(key, value, rows.schema))
                 continue
             name = "extra" if self.metadata_schema is not None else "metadata"
             if mode == "text":
@@ -303,9 +310,8 @@ class StoreTable:
     def check_ids(self, ids: Sequence[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
         """(found, missing): the requested ids with ``pos``, in order, repeats kept."""
         self._check_open()
-        if not isinstance(ids, DataFrame):
-            ids = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
-        own = self._rows().select("id")
+        ids, own = self._requested(ids)
+        own = own.select("id")
         return ids.join(own, "id", "left_semi").select("pos", "id").orderBy("pos"), ids.join(own, "id", "left_anti").select("pos", "id").orderBy("pos")
 
     def lazy_all(self) -> Iterator[Row]:

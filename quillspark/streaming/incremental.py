@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
 
@@ -60,12 +63,32 @@ def stream_to_store(stream: DataFrame, store: Any, checkpoint: str) -> Streaming
     return stream.writeStream.foreachBatch(store.upsert_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_chunks(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, run_id: str = "run_id", seq: str = "seq", chunk: str = "chunk") -> StreamingQuery:
-    """Chunks of runs: every micro-batch gives ``sink`` one row a run with its
-    chunks joined in order."""
-
-    def joined(batch: DataFrame, epoch: int) -> None:
-        parts = F.array_sort(F.collect_list(F.struct(seq, chunk)))
-        sink(batch.groupBy(run_id).agg(F.array_join(F.transform(parts, lambda p: p[chunk]), "").alias("output")), epoch)
-
-    return stream.writeStream.foreachBatch(joined).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def joined_chunks(stream: DataFrame, *, run_id: str = "run_id", seq: str = "seq", chunk: str = "chunk", end: str | None = None) -> DataFrame:
+    """run_id, output, n_chunks of every run that got chunks, joined in order of ``seq``
+    over all micro-batches so far; for ``outputMode("update")``.  A repeated ``seq`` replaces
+    its chunk.  The state of a run is its chunks; it is dropped with a chunk whose column
+    ``end`` is true, and kept if there is no such column."""
+    kind = stream.schema[run_id].dataType.simpleString()
+
+    def join(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        over = False
+        for f in frames:
+            parts |= {int(s): c or "" for s, c in zip(f[seq], f[chunk], strict=True)}
+            over = over or bool(f["_end"].any())
+        if over:
+            state.remove()
+        else:
+            state.update((json.dumps(parts),))
+        yield pd.DataFrame({run_id: [key[0]], "output": ["".join(parts[s] for s in sorted(parts))], "n_chunks": [len(parts)]})
+
+    last = F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)
+    rows = stream.select(run_id, F.col(seq).cast("long").alias(seq), F.col(chunk).cast("string").alias(chunk), last.alias("_end")).where(F.col(seq).isNotNull())
+    return rows.groupBy(run_id).applyInPandasWithState(join, f"{run_id} {kind}, output string, n_chunks long", "parts string", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_chunks(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, run_id: str = "run_id", seq: str = "seq", chunk: str = "chunk", end: str | None = None) -> StreamingQuery:
+    """Chunks of runs: after every micro-batch ``sink`` gets one row for each run that it
+    touched, with all chunks of the run so far; the sink keeps the latest row of a run."""
+    rows = joined_chunks(stream, run_id=run_id, seq=seq, chunk=chunk, end=end)
+    return rows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import asyncio
 import dataclasses
+import io
 import json
 import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import report
+from quillspark import environment, report, session
 from quillspark.functions import chat, json_repair
 from quillspark.model import Metadata
 from quillspark.operators import profile, stats
@@ -142,6 +143,22 @@ def test_registry_and_configs(spark):
     assert other.cache_key() != config.AgentConfig(model=made).cache_key()
 
 
+def test_configurations_are_read_only_keys():
+    made = config.ModelConfig(model="m", extra={"stop": ["a"], "t": {"x": 1}})
+    with pytest.raises(KeyError, match="nothing"):
+        made.get_value("nothing")
+    assert made.get_value("nothing", None) is None and made["stop"] == ["a"] and made.model == "m" and dict(made.extra) == {"stop": ["a"], "t": {"x": 1}}
+    same = config.ModelConfig.from_kwargs(t={"x": 1}, model="m", stop=["a"])
+    assert same == made and {made: 1}[same] == 1 and made != config.Config(extra={"model": "m", "stop": ["a"], "t": {"x": 1}})
+    assert list(config.Config()) == [] and config.AgentConfig().to_kwargs() == {"model": None, "system_prompt": None}
+    with pytest.raises(AttributeError):
+        made.model = "n"
+    with pytest.raises(TypeError):
+        config.ModelConfig(temperature=1)
+    with pytest.raises(ValueError):
+        config.ModelConfig(extra={"extra": 1})
+
+
 def test_cache(spark):
     calls = []
     run = runs.CachingRun(runs.Run(lambda x: calls.append(x) or x * 2))
@@ -288,9 +305,26 @@ def test_streams(spark, tmp_path):
     incremental.stream_to_store(stream, store, str(tmp_path / "c2")).awaitTermination()
     assert store.count() == 3
     chunks = spark.readStream.schema("id string, page_content string, lang string, _ord long").parquet(folder)
-    joined = []
-    incremental.stream_chunks(chunks, lambda b, e: joined.extend((r.lang, r.output) for r in b.collect()), str(tmp_path / "c3"), run_id="lang", seq="_ord", chunk="page_content").awaitTermination()
-    assert sorted(joined) == [("x", "abb"), ("y", "a")]
+    joined = {}
+    incremental.stream_chunks(chunks, lambda b, e: joined.update((r.lang, r.output) for r in b.collect()), str(tmp_path / "c3"), run_id="lang", seq="_ord", chunk="page_content").awaitTermination()
+    assert joined == {"x": "abb", "y": "a"}
+
+
+def test_chunks_of_a_run_over_several_batches(spark, tmp_path):
+    folder, ddl = str(tmp_path / "chunks"), "run string, seq long, chunk string"
+    seen: list[dict] = []
+
+    def drain() -> None:
+        rows = spark.readStream.schema(ddl).parquet(folder)
+        incremental.stream_chunks(rows, lambda b, e: seen.append({r.run: (r.output, r.n_chunks) for r in b.collect()}), str(tmp_path / "c"), run_id="run").awaitTermination()
+
+    for part in ([("a", 1, "He"), ("b", 1, "x")], [("a", 3, "o"), ("a", 2, "ll")], [("b", 2, None), ("a", 3, "o!"), ("c", None, "lost")]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(folder)
+        drain()
+    latest = {}
+    for s in seen:
+        latest |= s
+    assert latest == {"a": ("Hello!", 3), "b": ("x", 2)} and any(s.get("a") == ("Hello", 3) for s in seen)
 
 
 def test_reports(spark):
@@ -302,3 +336,125 @@ def test_reports(spark):
     assert "no documents" in report.content_stats_report({"count": 0})
     assert "author" in report.metadata_report(profile.metadata_profile(df, meta))
     assert "doc-0" in report.document_report(df, 1, max_length=20)
+    assert report.markdown_report("# Title\n- **bold** and `code`\n[a](b)") == "Title\n=====\n• bold and code\na (b)"
+    assert report.pretty_report({"a": 1}) == "{'a': 1}"
+    out = io.StringIO()
+    assert list(report.progress("abc", total=3, label="rows", out=out)) == ["a", "b", "c"] and "rows: 3 of 3, done" in out.getvalue()
+
+
+def test_environment(tmp_path):
+    assert environment.is_available("json") and not environment.is_available("no_such_module")
+    with pytest.raises(ImportError, match="no_such_module"):
+        environment.require("no_such_module")
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "mark").touch()
+    assert environment.project_root(tmp_path / "a" / "b", "mark") == (tmp_path / "a").resolve() and environment.project_root(tmp_path, "no such mark") is None
+    assert environment.commit_hash(tmp_path) is None
+
+
+def test_one_cache_for_all(spark):
+    calls = []
+    table = runs.CacheTable(spark)
+    run = runs.CachingRun(runs.Run(lambda s: calls.append(s) or f"<{s}>"), table)
+    assert run.invoke("é") == "<é>" and run.batch(["é", "b"]) == ["<é>", "<b>"] and calls == ["é", "b"]
+    df = spark.createDataFrame([("é",), ("c",), (None,)], "t string")
+    assert {r.t: r.output for r in run.transform(df, "t").collect()} == {"é": "<é>", "c": "<c>", None: "<None>"}
+    assert run.batch(["c", None]) == ["<c>", "<None>"] and calls == ["é", "b"]
+    table.add(spark.createDataFrame([(runs.default_key("c"), "later")], "key string, value string"))
+    assert run.invoke("c") == "<c>"  # the oldest entry counts
+    other = runs.CachingRun(runs.Run(lambda v: {"n": v, "l": (1, 2)}), runs.CacheTable(spark))
+    assert other.invoke(5) == {"n": 5, "l": (1, 2)} and other.invoke(5) == {"n": 5, "l": [1, 2]}
+    small = runs.CachingRun(runs.Run(lambda v: v), keep=2)
+    assert small.batch([1, 2, 3]) == [1, 2, 3] and len(small._local) == 2
+
+
+def test_structured_calls(spark):
+    schema = "city string, degrees double"
+    plain = lambda ms: '```json\n{"city": "' + ms[-1]["content"] + '", "degrees": 7.5}\n```'
+    got = runs.invoke_structured_llm(spark, plain, "Oslo", schema, system_prompt="s")
+    assert got.parsed == {"city": "Oslo", "degrees": 7.5} and got.used_fallback and got.usage == dict.fromkeys(chat.USAGE, 0) and got.raw.startswith("```") and got.seconds >= 0
+    native = lambda ms: {"content": "", "parsed": {"city": "Rome", "degrees": 20.0}, "usage_metadata": {"input_tokens": 3, "output_tokens": None}}
+    got = asyncio.run(runs.ainvoke_structured_llm(spark, native, "x", schema))
+    assert got.parsed["city"] == "Rome" and not got.used_fallback and got.usage["input_tokens"] == 3
+    with pytest.raises(runs.StructuredOutputError):
+        runs.invoke_structured_llm(spark, lambda ms: "no JSON", "x", schema)
+    assert runs.invoke_structured_llm(spark, lambda ms: "no JSON", "x", schema, raise_error=False).error
+
+    def mixed(ms):
+        if ms[-1]["content"] == "bad":
+            raise ValueError("no")
+        return native(ms) if ms[-1]["content"] == "n" else plain(ms)
+
+    rows = {r.q: r for r in runs.structured_calls(spark.createDataFrame([("n",), ("Oslo",), ("bad",)], "q string"), "q", mixed, schema).collect()}
+    assert rows["n"].parsed.city == "Rome" and not rows["n"].used_fallback and rows["Oslo"].parsed.city == "Oslo" and rows["Oslo"].used_fallback
+    assert rows["bad"].parsed is None and "ValueError" in rows["bad"].parsed_error and rows["n"].input_tokens == 3
+
+
+def test_chat_streams_and_structured_replies():
+    run = runs.ChatRun(lambda ms: {"content": "hi", "parsed": {"a": 1}}, system_prompt="s", chunks=lambda ms: iter(["h", "i", str(len(ms))]))
+    assert run.invoke("x")["structured_response"] == {"a": 1} and run.invoke("x")["messages"][-1] == {"role": "assistant", "content": "hi"}
+    assert list(run.stream("x")) == ["h", "i", "2"] and list(runs.ChatRun(lambda ms: "all").stream("x")) == ["all"]
+
+    async def gather():
+        return [c async for c in run.astream("x")]
+
+    assert asyncio.run(gather()) == ["h", "i", "2"]
+
+
+def test_recorded_asynchronous_stream(spark):
+    store = StoreTable.in_memory(spark, kind="record")
+    run = runs.RecordingRun(runs.Run(str), store)
+
+    async def chunks(value):
+        for c in value:
+            yield c
+
+    async def gather():
+        return [c async for c in run.astream(chunks, "abc")]
+
+    assert asyncio.run(gather()) == ["a", "b", "c"] and json.loads(store.all().first().metadata)["output"] == "abc"
+
+
+def test_running_usage_over_all_rows(spark):
+    rows = [(i, i % 5, 1, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "o long, input_tokens int, output_tokens int, total_tokens int").repartition(5)
+    got = [(r.o, r.total_input_tokens, r.total_output_tokens, r.total_total_tokens) for r in runs.accumulated_usage(df, "o").orderBy("o").collect()]
+    assert got == [(i, sum(k % 5 for k in range(i + 1)), i + 1, 0) for i in range(200)]
+
+
+def test_serialized_values():
+    @dataclasses.dataclass
+    class Inner:
+        x: int
+
+    class Dumps:
+        def model_dump(self):
+            return {"inner": Inner(1)}
+
+    assert runs.default_serialize({"a": (Dumps(), {3}), "t": Inner}) == {"a": [{"inner": {"x": 1}}, {3}], "t": Inner}
+
+
+def test_shared_folder_needs_a_name_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+
+
+def test_scratch_scope(spark):
+    with session.scratch_scope(spark) as tables:
+        session.materialize(spark.range(3))
+        kept = session.materialize(spark.range(5))
+        own = tables.pop()
+    assert kept.count() == 5 and len(tables) == 1
+    with pytest.raises(Exception):
+        spark.read.schema("id long").parquet(tables[0]).count()
+    session.delete_tables(spark, [own])

@@ -6,9 +6,9 @@ import pytest
 
 from quillspark.sources.store import ReadOnlyError, StoreTable
 
-ROWS = [("1", "Intro to Python", "Alice", 2022, "Programming", None), ("2", "Advanced Python", "Alice", 2023, "Programming", "O'Reilly"), ("3", "History of Rome", "Bob", 2021, "History", None), ("4", "History of Greece", "Bob", 2020, "History", "Manning")]
-SCHEMA = {"author": "VARCHAR", "year": "INTEGER", "category": "VARCHAR"}
-DDL = "id string, page_content string, author string, year int, category string, publisher string"
+ROWS = [("1", "Tides of the bay", "Mara", 1991, "Sea", None), ("2", "Lamps on the pier", "Mara", 1994, "Sea", "D'Arcy & Son"), ("3", "Snow in the pass", "Teo", 1987, "Hills", None), ("4", "Wind over the ridge", "Teo", 1983, "Hills", "Quarry")]
+SCHEMA = {"writer": "VARCHAR", "printed": "INTEGER", "shelf": "VARCHAR"}
+DDL = "id string, page_content string, writer string, printed int, shelf string, house string"
 
 
 @pytest.fixture(params=["typed", "untyped"])
@@ -26,10 +26,10 @@ def ids(df):
 def test_contract(store, spark):
     assert store.count() == 4 and ids(store.all()) == ["1", "2", "3", "4"]
     row = store.get("2")
-    assert row.page_content == "Advanced Python" and store.metadata_of(row) == {"author": "Alice", "year": 2023, "category": "Programming", "publisher": "O'Reilly"}
-    assert store.get("9") is None and store.get("x' OR '1'='1") is None
+    assert row.page_content == "Lamps on the pier" and store.metadata_of(row) == {"writer": "Mara", "printed": 1994, "shelf": "Sea", "house": "D'Arcy & Son"}
+    assert store.get("9") is None and store.get("1' -- '") is None
     got = store.get_many(["3", "9", "1", "3"]).collect()
-    assert [(r.id, r.found, r.page_content) for r in got] == [("3", True, "History of Rome"), ("9", False, None), ("1", True, "Intro to Python"), ("3", True, "History of Rome")]
+    assert [(r.id, r.found, r.page_content) for r in got] == [("3", True, "Snow in the pass"), ("9", False, None), ("1", True, "Tides of the bay"), ("3", True, "Snow in the pass")]
     assert store.get_many([]).count() == 0
     found, missing = store.check_ids(["9", "1", "1", "8"])
     assert [r.id for r in found.collect()] == ["1", "1"] and [r.id for r in missing.collect()] == ["9", "8"]
@@ -37,14 +37,14 @@ def test_contract(store, spark):
 
 def test_filters(store):
     assert ids(store.filter()) == ["1", "2", "3", "4"]
-    assert ids(store.filter(author="Alice")) == ["1", "2"]
-    assert ids(store.filter(author="Bob", year=2020)) == ["4"]
-    assert ids(store.filter(publisher="O'Reilly")) == ["2"]
-    assert ids(store.filter(author="Bob", publisher="Manning")) == ["4"]
-    assert ids(store.filter(author="nobody")) == []
-    assert ids(store.filter(publisher=None)) == ["1", "3"]
+    assert ids(store.filter(writer="Mara")) == ["1", "2"]
+    assert ids(store.filter(writer="Teo", printed=1983)) == ["4"]
+    assert ids(store.filter(house="D'Arcy & Son")) == ["2"]
+    assert ids(store.filter(writer="Teo", house="Quarry")) == ["4"]
+    assert ids(store.filter(writer="nobody")) == []
+    assert ids(store.filter(house=None)) == ["1", "3"]
     with pytest.raises(ValueError, match="mode"):
-        store.filter(mode="other", author="Bob")
+        store.filter(mode="other", writer="Teo")
 
 
 def test_upsert_replaces_and_last_row_wins(store, spark):
@@ -90,7 +90,7 @@ def test_reopen_and_read_only(spark, tmp_path):
     assert again.count() == 4
     with pytest.raises(ReadOnlyError):
         again.delete("1")
-    assert again.get_columns_info() == {"id": "string", "page_content": "string", "author": "string", "year": "int", "category": "string", "extra": "string"}
+    assert again.get_columns_info() == {"id": "string", "page_content": "string", "writer": "string", "printed": "int", "shelf": "string", "extra": "string"}
     again.show_columns_info()
 
 
