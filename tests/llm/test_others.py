@@ -284,14 +284,62 @@ def test_quality_on_held_out_rows(spark):
     assert all(got[i].keep == (got[i].p_quality >= 0.5 and got[i].p_toxic < 0.5) for i in got)
 
 
-def test_sparse_sites_stay_near_the_global_rate(spark):
-    rows = [("big", "a", 3.0)] * 2000 + [("low", "a", -3.0)] * 2000 + [("one", "a", -3.0)] + [("big", "b", -3.0)] + [(None, None, 3.0)] * 5
-    scored = spark.createDataFrame(rows, "host string, path string, quality double")
-    rates = {(r.host, r.path): r for r in quality.site_rates(scored, "quality").collect()}
-    assert rates["big", "a"].quality_rate > 0.9 > 0.1 > rates["low", "a"].quality_rate
-    assert rates["low", "a"].quality_rate < rates["one", "a"].quality_rate < 0.5
-    assert rates["big", "b"].quality_rate > rates["one", "a"].quality_rate
-    assert (None, None) in rates and rates["big", "a"].quality_shift > 0 > rates["low", "a"].quality_shift
+def test_site_rates_against_brute_force(spark):
+    """Rates of the site's other documents, shrunk with the same priors, in plain Python."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.gauss(0, 2), rng.gauss(-1, 1)) for i in range(300)]
+    rows += [(300 + i, "big", "z", 3.0, -3.0) for i in range(500)] + [(900, "one", "z", -3.0, 2.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, quality double, toxic double")
+    out, priors = quality.with_site_rates(scored)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for col, k in ((3, "quality"), (4, "toxic")):
+        mean, k_host, k_path = priors[k]
+        p = {r[0]: 1 / (1 + math.exp(-r[col])) for r in rows}
+        assert mean == pytest.approx(sum(p.values()) / len(rows))
+        for i, h, q, *_ in rows:
+            of_host = [p[r[0]] for r in rows if r[1] == h and r[0] != i]
+            of_path = [p[r[0]] for r in rows if r[1] == h and r[2] == q and r[0] != i]
+            host = (sum(of_host) + k_host * mean) / (len(of_host) + k_host)
+            rate = min(1 - 1e-4, max(1e-4, (sum(of_path) + k_path * host) / (len(of_path) + k_path)))
+            assert got[i][f"{k}_rate"] == pytest.approx(rate, abs=1e-9)
+            assert got[i][f"{k}_shift"] == pytest.approx(math.log(rate / (1 - rate)) - math.log(mean / (1 - mean)), abs=1e-6)
+    assert abs(got[900].quality_rate - priors["quality"][0]) < 1e-3  # a site of one document has no others
+
+
+def test_sites_help_on_held_out_rows(spark):
+    """Labels that depend on the site as well: the fitted weight gains, and is small where sites tell nothing."""
+    rng = random.Random(7)
+    rate = {f"h{i}": (0.9 if i % 2 else 0.1) for i in range(12)}
+    docs, labels = [], []
+    for i in range(1500):
+        h = rng.choice(list(rate))
+        good = rng.random() < rate[h]
+        told = ["fine" if good else "poor"] if rng.random() < 0.45 else []
+        docs.append((i, " ".join([f"w{rng.randint(0, 400)}" for _ in range(30)] + told), h, "p"))
+        labels.append((i, int(good), int(rng.random() < 0.1)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    train = spark.createDataFrame(labels[:800], "doc_id long, quality int, toxic int")
+    right = {}
+    for w in (0.0, None):
+        got = {r.doc_id: r.p_quality >= 0.5 for r in quality.classify(df, train, host=F.col("host"), path=F.col("path"), site_weight=w).collect()}
+        right[w] = sum(got[i] == bool(q) for i, q, _ in labels[800:]) / 700
+    assert right[None] > right[0.0] + 0.05
+
+
+def test_repeated_labels_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "good words", "h", "p", 5.0)] * 50 + [(2, "bad words", "h", "p", 5.0)], "doc_id long, text string, host string, path string, quality double")
+    labels = spark.createDataFrame([(1, 1, 0)] * 9 + [(2, 0, 1), (1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.labelled_rows(docs, labels, "doc_id", "text", 100).count() == 2
+    assert len(quality.classify(docs, labels, host=F.col("host"), path=F.col("path")).collect()) == 51
+
+
+def test_hosts_and_paths_of_urls(spark):
+    urls = ["https://A.example.org/news/2020/x.html", "http://b.example/", "no url", None, "https://c.example"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(quality.host_of(F.col("u")), quality.path_of(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == [("a.example.org", "/news"), ("b.example", "/"), (None, None), (None, None), ("c.example", None)]
 
 
 def test_quality_of_odd_rows(spark):
