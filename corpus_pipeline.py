@@ -16,7 +16,8 @@ What each stage decides:
 3. substring dedup: repeated passages are cut out of the texts; a document that
    lost all of its words goes; a text that lost none stays as it is;
 4. decontamination: contaminated documents go;
-5. packing: the documents are packed into sequences, one row for each piece.
+5. packing: the documents are packed into sequences by their token counts, one row
+   for each piece.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, lang_id, near_dup, packing, substring_dedup
 from quillspark.llm._common import materialize, table
-from quillspark.session import ship_package
+from quillspark.session import delete_tables, scratch_scope, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.25
@@ -92,7 +93,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order.  A stage's intermediate tables go when its result is
+    written, and that result when the next one's is."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch_scope(spark) as tables:
+            docs = materialize(stage(spark, docs, sf_dir))
+            own = tables.pop()
+        delete_tables(spark, written)
+        written = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
