@@ -9,13 +9,14 @@ each change labels the spans; the language with the most letters is the
 document's, and its share of the letters is the score.
 
 The model is fitted on a bounded sample of labelled rows: for each language about
-``docs_per_language`` whole texts, chosen by a hash of the id; the n-gram counts
-are made by the executors and summed.
+``docs_per_language`` different whole texts, chosen by a hash of the text, each once however
+often it is repeated; the n-gram counts are made by the executors and summed.  The model has 256 kB a
+language, which is what is broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and
 no spans; a word in a script that no language uses is neutral and its letters
 count for none; ties between languages go to the first by name; repeated rows each get their own result; with
-no labelled row every text is ``und``.  Memory grows with the words of one text,
+no labelled row every text is ``und``; a row with a null id is not held out.  Memory grows with the words of one text,
 not with a batch.
 """
 
@@ -249,16 +250,17 @@ def _label_batches(held: list[list[str | None]], model: Model, penalty: float) -
         yield pa.array([next(found) for _ in own], _RESULT)
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, smoothing: float = 0.2) -> Model:
-    """Fit on about ``docs_per_language`` rows of each language (all, if fewer)."""
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, smoothing: float = 0.2) -> Model:
+    """Fit on about ``docs_per_language`` texts of each language (all, if fewer)."""
+    own = F.xxhash64(F.col(text_col))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(lang_col).agg(F.approx_count_distinct(own, 0.02)).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((_OTHER + 1, 0)), np.ones(_OTHER + 1, bool))
     grain = 1 << 20
     keep = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(grain, -(-grain * docs_per_language // counts[g]))))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(grain)) < F.element_at(keep, F.col(lang_col)))
+    sample = rows.where(F.pmod(own, F.lit(grain)) < F.element_at(keep, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct()
     number = {g: n for n, g in enumerate(langs)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,7 +277,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             lang, bucket = np.nonzero(table)
             yield pd.DataFrame({"lang": lang.astype(np.int32), "bucket": (bucket + shift).astype(np.int32), "n": table[lang, bucket]})
 
-    summed = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = sample.mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (summed[c].to_numpy() for c in ("lang", "bucket", "n"))
     table = np.zeros((BUCKETS + _OTHER + 1, len(langs)))
     table[bucket, lang] = n
@@ -289,7 +291,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1
+    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch_penalty: float = 12.0, out: str = "language") -> DataFrame:
@@ -314,7 +316,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", switch_pe
 
 def fit_and_identify(docs: DataFrame) -> DataFrame:
     """The contract's folds: fit where the id's remainder is not 1, label every row."""
-    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    model = fit(docs.where(~held_out()))
     return identify(docs, model)
 
 

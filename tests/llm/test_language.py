@@ -96,3 +96,19 @@ def test_prediction_ignores_labels_and_ids(spark):
     a = [r.language for r in lang_id.identify(docs, model).orderBy("doc_id").collect()]
     b = [r.language for r in lang_id.identify(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)), model).orderBy("doc_id").collect()]
     assert a == b
+
+
+def test_repeated_rows_and_null_ids_are_sampled_once(spark):
+    rows = [(None, "the same words again and again", "en")] * 300 + [(7, "les mots de la langue", "fr")] * 200 + [(i, f"other words of a text number {chr(97 + i)}", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = lang_id.fit(df, docs_per_language=5)
+    assert few.langs == ["en", "fr"]
+    found = lang_id.digest(lang_id.fit_and_identify(df)).collect()
+    assert len(found) == len(rows) and not any(r.held_out is None for r in found) and all(not r.held_out for r in found if r.doc_id is None)
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(0, "abc abc", "xx"), (2, "abc abc", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df)
+    assert [r["lang_pred"] for r in lang_id.label(["abc", "abc abc"], model, 12.0)] == ["aa", "aa"]
