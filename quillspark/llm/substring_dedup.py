@@ -1,44 +1,48 @@
-"""Substring deduplication by minimiser paths of 50-word windows.
-
-No de Bruijn graph is built: paths are not joined into longer ones, and equality is
-that of hashes; words are not compared.
+"""Substring deduplication by compacted de Bruijn paths of 50-word windows.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``.  A window is 50 consecutive words; each
 word of a window whose sequence also starts in a document of smaller id is removed.
 
-Edges and paths.  Every window has one anchor: its 16-word k-mer of least hash
-(leftmost of equals).  Equal windows have equal anchors at equal places, so only
-windows of one anchor need be compared.  The consecutive windows of a text with
-one anchor are a path, identified by (anchor, hash of all its words).
+Graph.  Windows are the edges of a de Bruijn graph, between the 49-word nodes that
+overlapping windows share.  The graph is dealt into partitions by minimisers: every window has
+one anchor, its 16-word k-mer of least hash (leftmost of equals), and equal windows have
+equal anchors at equal places.  The consecutive windows of a text with one anchor are a
+*piece*, a walk of at most 35 edges, identified by (anchor, hash of all its words).
+
+Compaction.  An anchor that occurs in one document is dropped.  If all pieces at an
+anchor are equal, no node between their edges branches: the piece is one compacted record.  Where they
+differ, the piece's smallest document opens it into edges.  In- and out-degrees are counted over the
+partition's edges; a join of the edges that have one successor with those that have one
+predecessor finds the nodes that do not branch, and runs of edges over such nodes are
+compacted into one record each.  All edges of a run are in the same pieces, so they
+have one smallest document.
 
-Compaction.  An anchor that occurs in one document is dropped.  If all paths at
-an anchor are equal, the path does not branch: it is one record with its smallest
-document, and every other document loses the whole path; no window is looked at.
-Only where paths of an anchor differ (the graph branches: at the ends of repeated
-passages and at edits) one representative of each path, found again in its
-document's text, is opened into windows, and each window's smallest document is found
-by a grouped minimum.  A path's other documents lose all of it in any case.
+Verification at the source.  Each record keeps its source coordinates: the smallest document, piece and
+place.  Runs are accepted only if the words there and the words of the repeating
+document are equal (a join by the source piece).  Whole pieces are accepted only if the SHA-256 of
+the source's words is that of the words that the repeating document has in this place, when it is cut.
 
-Joins are by anchor, by (anchor, path), by (anchor, window) and by document; no
-pair of documents is ever made.  Keys are (anchor, path or window) with 64 bits
-each; a window is taken for another only if both hashes agree.
+Joins are by anchor, by (anchor, piece), by (anchor, edge) and by document; no
+pair of documents is ever made.
 
 Defined results: null and empty texts have no words and lose none; a text of
 fewer than 50 words loses none; copies within one document stay; rows with one id
 are judged each by its own words, and windows of the same id never remove each
-other; rows with a null id take no part and are kept; extra columns are carried
-along untouched.
+other; rows with a null id take no part and are kept; ids may have any type with an order; extra
+columns are carried along untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_scope
 from ._common import materialize
 
 WINDOW, KMER = 50, 16
@@ -48,8 +52,6 @@ _CHUNK_BYTES = 1 << 22
 _CHUNK_WORDS = 1 << 18
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
-PATHS_DDL = "anchor long, path long, doc_id long, n_windows int"
-WINDOWS_DDL = "anchor long, path long, doc_id long, windows array<long>"
 RESULT_DDL = "kept string, n_words long, n_removed long, starts array<int>, ends array<int>"
 
 
@@ -154,52 +156,77 @@ def _raw(text: pa.StringScalar) -> bytes:
     return value.to_pybytes() if value is not None else b""
 
 
-def _path_rows(window: int, kmer: int):
-    schema = pa.schema([("anchor", pa.int64()), ("path", pa.int64()), ("doc_id", pa.int64()), ("n_windows", pa.int32())])
-
+def _piece_rows(window: int, kmer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            out, docs, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                anchor, path, n = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
+                ids = batch.column("doc_id").take(pa.array(np.repeat([i for i, _ in docs], [k for _, k in docs])))  # noqa: B023
+                return pa.RecordBatch.from_arrays([anchor, path, ids, n], names=["anchor", "path", "doc_id", "n"])
+
+            for i, text in enumerate(batch.column("text")):
                 found = paths_of(word_hashes(_raw(text)), window, kmer)
                 if found is None:
                     continue
                 first, last, anchor, path = found
                 _, once = np.unique(np.stack((anchor, path)), axis=1, return_index=True) if len(anchor) > 1 else (None, np.zeros(1, np.int64))
-                out.append((anchor[once], path[once], np.full(len(once), doc), (last - first + 1)[once].astype(np.int32)))
+                out.append((anchor[once], path[once], (last - first + 1)[once].astype(np.int32)))
+                docs.append((i, len(once)))
                 size += len(once)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
-                    out, size = [], 0
+                    yield made()
+                    out, docs, size = [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                yield made()
 
     return run
 
 
-def _window_rows(window: int, kmer: int):
-    schema = pa.schema([("anchor", pa.int64()), ("path", pa.int64()), ("doc_id", pa.int64()), ("windows", pa.list_(pa.int64()))])
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _source_rows(window: int, kmer: int):
+    """The wanted pieces of their smallest documents: place, digest of the words, and for
+    branching anchors the edges and the words."""
+    names = ["anchor", "path", "place", "sha", "edges", "words"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
-                hashes = word_hashes(_raw(text))
+            docs: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs)), *columns], names=["doc_id", *names])  # noqa: B023
+
+            for i, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted"), strict=True)):
+                raw = _raw(text)
+                hashes = word_hashes(raw)
                 found = paths_of(hashes, window, kmer)
                 if found is None:
                     continue
-                keys = {(w["anchor"], w["path"]) for w in wanted.as_py()}
-                roll = Rolling(hashes, _BASE2)
+                keys = {(w["anchor"], w["path"]): w["branches"] for w in wanted.as_py()}
+                words, roll = raw.split(), None
                 for a, b, anchor, path in zip(*(x.tolist() for x in found), strict=True):
-                    if (anchor, path) in keys:
-                        keys.discard((anchor, path))
+                    branches = keys.pop((anchor, path), None)
+                    if branches is None:
+                        continue
+                    own, edges = words[a : b + window], None
+                    if branches:
+                        roll = roll or Rolling(hashes, _BASE2)
                         p = np.arange(a, b + 1)
-                        rows.append((anchor, path, doc, roll.of(p, p + window).view(np.int64)))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows = []
+                        edges = roll.of(p, p + window).view(np.int64)
+                    rows.append((anchor, path, a, _digest(own), edges, b" ".join(own).decode("utf-8") if branches else None))
+                    docs.append(i)
+                if len(rows) > 10_000:
+                    yield made()
+                    rows, docs = [], []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield made()
 
     return run
 
@@ -210,20 +237,21 @@ def _cut_text(text: pa.StringScalar, losses: list[dict] | None, window: int, kme
     n = len(words)
     gone = None
     if losses:
-        masks: dict[tuple[int, int], list[int]] = {}
+        masks: dict[tuple[int, int], list[tuple]] = {}
         for x in losses:
-            masks.setdefault((x["anchor"], x["path"]), []).append(x["lost"])
+            masks.setdefault((x["anchor"], x["path"]), []).append((x["lost"], x["n"], x["sha"]))
         found = paths_of(word_hashes(raw), window, kmer)
         if found is not None:
             edge = np.zeros(n + 1, np.int32)
             for a, b, anchor, path in zip(*(x.tolist() for x in found), strict=True):
-                for lost in masks.get((anchor, path), ()):
+                for lost, k, sha in masks.get((anchor, path), ()):
                     if lost < 0:
-                        edge[a] += 1
-                        edge[b + window] -= 1
-                    elif a + lost <= b:
+                        if _digest(words[a : b + window]) == sha:
+                            edge[a] += 1
+                            edge[b + window] -= 1
+                    elif a + lost + k - 1 <= b:
                         edge[a + lost] += 1
-                        edge[a + lost + window] -= 1
+                        edge[a + lost + k - 1 + window] -= 1
             gone = np.cumsum(edge[:-1]) > 0
     if gone is None or not gone.any():
         return {"kept": b" ".join(words).decode("utf-8"), "n_words": n, "n_removed": 0, "starts": [], "ends": []}
@@ -232,29 +260,59 @@ def _cut_text(text: pa.StringScalar, losses: list[dict] | None, window: int, kme
     return {"kept": kept.decode("utf-8"), "n_words": n, "n_removed": int(gone.sum()), "starts": runs[::2], "ends": runs[1::2]}
 
 
+def compacted_runs(sources: DataFrame) -> DataFrame:
+    """anchor, path, doc_id, lost (first edge of the run within the piece), n (edges), and the
+    run's source: src (smallest document), src_path, src_off."""
+    step = F.transform("edges", lambda w, i: F.struct(i.alias("off"), w.alias("edge"), F.get("edges", i - 1).alias("before"), F.get("edges", i + 1).alias("after")))
+    edges = sources.where("edges is not null").select("anchor", "path", "doc_id", F.explode(step).alias("e")).select("anchor", "path", "doc_id", "e.*")
+    single = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    place = lambda c: F.min_by(c, "doc_id")
+    graph = edges.groupBy("anchor", "edge").agg(
+        F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), place("path").alias("src_path"), place("off").alias("src_off"), single("before").alias("one_in"), single("after").alias("one_out"), F.min("after").alias("after")
+    )
+    graph = materialize(graph.where("src < last").select("anchor", "edge", "src", "src_path", "src_off", "one_in", "one_out", "after"))
+    # the node between an edge and the next does not branch if each is the other's only one
+    follows = graph.where("one_out").select("anchor", F.col("after").alias("edge")).join(graph.where("one_in").select("anchor", "edge"), ["anchor", "edge"]).distinct()
+    graph = graph.join(follows.withColumn("follows", F.lit(1)), ["anchor", "edge"], "left").select("anchor", "edge", "src", "src_path", "src_off", F.coalesce("follows", F.lit(0)).alias("follows"))
+    walks = edges.select("anchor", "path", "doc_id", "off", "edge").join(graph, ["anchor", "edge"])
+    along = Window.partitionBy("anchor", "path", "doc_id").orderBy("off")  # at most 35 edges
+    walks = walks.withColumn("run", F.sum(1 - F.col("follows")).over(along))
+    first = lambda c: F.min_by(c, "off").alias(c)
+    return walks.groupBy("anchor", "path", "doc_id", "run").agg(F.min("off").alias("lost"), (F.max("off") - F.min("off") + 1).alias("n"), first("src"), first("src_path"), first("src_off")).drop("run")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER, out: str = "dedup") -> DataFrame:
     """``docs`` with a struct column ``out``: kept (the kept words joined by one
     space), n_words, n_removed, and the removed word ranges (starts, ends)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     usable = texts.where("doc_id is not null and text is not null")
-    paths = materialize(usable.mapInArrow(_path_rows(window, kmer), PATHS_DDL))
-
-    anchors = paths.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1")
-    repeated = materialize(paths.join(anchors.select("anchor", "d0", (F.col("p0") < F.col("p1")).alias("branches")), "anchor"))
-
-    # non-branching: one record a path
-    whole = repeated.where("not branches and doc_id > d0").select("doc_id", "anchor", "path", F.lit(-1).alias("lost"))
-    # branching: the smallest document of each path stands for it
-    branching = repeated.where("branches").select("anchor", "path", "doc_id")
-    reps = branching.groupBy("anchor", "path").agg(F.min("doc_id").alias("rep"))
-    others = branching.join(reps, ["anchor", "path"]).where("doc_id > rep").select("doc_id", "anchor", "path", F.lit(-1).alias("lost"))
-    wanted = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "path")).alias("wanted"))
-    opened = materialize(usable.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_window_rows(window, kmer), WINDOWS_DDL))
-    single = opened.select("anchor", "path", "doc_id", F.posexplode("windows").alias("lost", "window"))
-    least = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("anchor", "window", "d0")
-    parts = single.join(least, ["anchor", "window"]).where("doc_id > d0").select("doc_id", "anchor", "path", "lost")
-
-    losses = whole.unionByName(others).unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "path", "lost")).alias("_qs_losses")).withColumnRenamed("doc_id", "_qs_lost_id")
+    with scratch_scope(docs.sparkSession) as tables:
+        pieces = materialize(usable.mapInArrow(_piece_rows(window, kmer), f"anchor long, path long, doc_id {kind}, n int"))
+        anchors = pieces.groupBy("anchor").agg(F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1")
+        repeated = materialize(pieces.join(anchors.select("anchor", (F.col("p0") < F.col("p1")).alias("branches")), "anchor"))
+        tables.pop()  # all pieces are not needed any more, the repeated ones are
+
+    # the smallest document of each piece is its source
+    by_piece = repeated.groupBy("anchor", "path", "branches").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
+    by_piece = materialize(by_piece.where("branches or src < last"))
+    wanted = by_piece.groupBy(F.col("src").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "path", "branches")).alias("wanted"))
+    source_ddl = f"doc_id {kind}, anchor long, path long, place int, sha binary, edges array<long>, words string"
+    sources = materialize(usable.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_source_rows(window, kmer), source_ddl))
+    # rows of one id may differ in text: of a piece's rows in its source the first place counts
+    known = sources.groupBy("anchor", "path").agg(F.min("sha").alias("sha"))
+    copied = repeated.join(by_piece.where("src < last").select("anchor", "path", "src"), ["anchor", "path"]).where("doc_id > src")
+    whole = copied.join(known, ["anchor", "path"]).select("doc_id", "anchor", "path", F.lit(-1).alias("lost"), "n", "sha")
+
+    runs = materialize(compacted_runs(sources))
+    own = sources.where("words is not null").select("doc_id", "anchor", "path", "words").dropDuplicates(["anchor", "path"])
+    theirs = own.select("anchor", F.col("path").alias("src_path"), F.col("words").alias("src_words"))
+    checked = runs.where("doc_id > src").join(own.select("anchor", "path", "words"), ["anchor", "path"]).join(theirs, ["anchor", "src_path"])
+    span = F.col("n") + F.lit(window - 1)
+    same = F.slice(F.split("words", " "), F.col("lost") + 1, span) == F.slice(F.split("src_words", " "), F.col("src_off") + 1, span)
+    parts = checked.where(same).select("doc_id", "anchor", "path", "lost", "n", F.lit(None).cast("binary").alias("sha"))
+
+    losses = whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "path", "lost", "n", "sha")).alias("_qs_losses")).withColumnRenamed("doc_id", "_qs_lost_id")
 
     @F.arrow_udf(RESULT_DDL)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -262,7 +320,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for text, lost in batches:
             yield pa.array([_cut_text(t, x.as_py(), window, kmer) for t, x in zip(text, lost, strict=True)], kind)
 
-    joined = docs.join(losses, docs[id_col].cast("long") == F.col("_qs_lost_id"), "left")
+    joined = docs.join(losses, docs[id_col] == F.col("_qs_lost_id"), "left")
     return joined.withColumn(out, cut.asNondeterministic()(F.col(text_col), F.col("_qs_losses"))).drop("_qs_lost_id", "_qs_losses")
 
 
