@@ -4,12 +4,12 @@ Words are maximal runs of bytes outside ``[\\x00-/:-`{-\\x7f]`` after A-Z are
 lower-cased, so any character beyond ASCII belongs to a word.  All windows of 13
 consecutive words of each benchmark item (a shorter, non-empty item is one
 window) go into one automaton.  Its letters are whole words: each word of the
-benchmark has a number, written as one code point, so a window has 13 nodes at most, and a
-document, its words outside of the benchmark written as 0, is scanned once by
-words.  Hits are mapped back to code point offsets of the original text.
+benchmark has a number, written as two digits, so a window has 26 nodes at most, and of a
+document only the runs of words of the benchmark are scanned, each once.  Hits are mapped
+back to code point offsets of the original text.
 
 The automaton is built once in a Python worker from the broadcast benchmark.  It
-takes about 0.7 kB a window; a benchmark of more than ``block_windows`` words is
+takes about 1.4 kB a window; a benchmark of more than ``block_windows`` words is
 scanned in blocks, each with one automaton in memory at a time, built once for every
 ``_HELD_CHARS`` characters of documents.  The result is the same.
 
@@ -21,6 +21,8 @@ count as hit but which have no name in the list of items.
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..environment import require
+
 WINDOW = 13
 _WORD_BYTES = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80) else 0x20 for c in range(256))
 _RESULT = pa.struct(
@@ -36,7 +40,7 @@ _RESULT = pa.struct(
 )
 RESULT_DDL = "n_words long, n_hit long, n_items long, items array<string>, starts array<long>, ends array<long>"
 _HELD_CHARS = 32 << 20
-_FIRST, _SURROGATES, _MOST = 1, 0xD800, 1_000_000
+_FIRST, _SECOND = 0x1, 0x4000  # code points of first and second digits
 _built: dict = {}
 
 
@@ -45,43 +49,44 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """The automaton of some items, (id, text) each."""
+    """The automaton of some items, (id, text) each.  A word is two letters, the digits of
+    its number to a base that keeps the nodes narrow; words of no item are two blanks."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW) -> None:
-        import ahocorasick
-
-        self.letters: dict[bytes, str] = {}
+        texts = [(item, normal_words(text)) for item, text in items]
+        known = list(dict.fromkeys(w for _, words in texts for w in words))
+        base = math.isqrt(len(known)) + 1
+        if base > _SECOND - _FIRST:
+            raise ValueError(f"block_windows allows {len(known)} different words in a block")
+        self.letters = {w: chr(_FIRST + n // base) + chr(_SECOND + n % base) for n, w in enumerate(known)}
         owners: dict[str, set] = {}
-        for item, text in items:
-            line = "".join([self._letter(w) for w in normal_words(text)])
-            for i in range(max(1, len(line) - size + 1) if line else 0):
-                owners.setdefault(line[i : i + size], set()).add(item)
-        self.auto = ahocorasick.Automaton() if owners else None
-        for w, ids in owners.items():
-            self.auto.add_word(w, (len(w), tuple(ids)))
+        for item, words in texts:
+            line = "".join([self.letters[w] for w in words])
+            for i in range(0, max(1, len(words) - size + 1) if words else 0):
+                owners.setdefault(line[2 * i : 2 * (i + size)], set()).add(item)
+        self.auto = None
         if owners:
+            self.auto = require("ahocorasick").Automaton()
+            for w, ids in owners.items():
+                self.auto.add_word(w, (len(w) // 2, tuple(ids)))
             self.auto.make_automaton()
-
-    def _letter(self, word: bytes) -> str:
-        found = self.letters.get(word)
-        if found is None:
-            n = _FIRST + len(self.letters)
-            if n > _MOST:
-                raise ValueError(f"block_windows allows more than {_MOST} different words in a block")
-            found = self.letters[word] = chr(n if n < _SURROGATES else n + 0x800)
-        return found
+            # only runs of known words that are long enough can hold a window
+            self.runs = re.compile(f"[^\\0]{{{min(map(len, owners))},}}")
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
         """A hit mask over ``words`` (None: no hit) and the items that occur."""
         edge, items = None, set()
         if words and self.auto is not None:
             known = self.letters.get
-            for last, (n, ids) in self.auto.iter("".join([known(w, "\0") for w in words])):
-                if edge is None:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                edge[last - n + 1] += 1
-                edge[last + 1] -= 1
-                items.update(ids)
+            line = "".join([known(w, "\0\0") for w in words])
+            for run in self.runs.finditer(line):
+                for at, (n, ids) in self.auto.iter(run[0]):
+                    if edge is None:
+                        edge = np.zeros(len(words) + 1, np.int32)
+                    last = (run.start() + at) // 2
+                    edge[last - n + 1] += 1
+                    edge[last + 1] -= 1
+                    items.update(ids)
         return (None if edge is None else np.cumsum(edge[:-1]) > 0), items
 
 
@@ -170,7 +175,7 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_windows: int = 500_000,
+    block_windows: int = 250_000,
     out: str = "contamination",
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, n_items, items (ids as
