@@ -9,7 +9,7 @@ holds this content.  In the end each bin is downsized to its contents.  For
 comparison each size is also tried as the fixed size of new bins, and the cheapest of
 these packings is returned.
 
-Lengths are token counts of the whole texts, from the cells of ``token_count``, unless
+Lengths are token counts of the whole texts, by the encoding of ``token_count``, unless
 another length is given.  Only ids and lengths are shuffled.  Shards are dealt by a hash of
 the id, with their number taken from the row count, so that each holds about ``shard_rows``
 rows however large the table is; bins do not cross shards.

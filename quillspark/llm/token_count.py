@@ -13,10 +13,6 @@ leaves' lengths and counts are returned; given back as ``state`` with the text t
 they belong to, they set up the tree without encoding anything, so a document that is edited
 again and again is encoded once.
 
-Within a leaf the same rule gives *cells* (a space, if any, and the run up to the
-next space); the counts of short cells are kept in a table of bounded size in
-each worker, as most cells of a corpus are repeated.
-
 Defined results: a null or empty text has 0 tokens and an empty tree; edits apply
 in order, each to the text that the one before left; starts and lengths beyond
 the text are cut to it, negative ones count as 0; a null insertion is empty; a
@@ -35,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..environment import require
+
 LEAF_CHARS = 1024
 # Fixed value: the splitting pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,22 +42,17 @@ RESULT_DDL = "n_tokens long, n_tokens_edited long, n_leaves long, n_encoded_char
 _LONGS = ("n_tokens", "n_tokens_edited", "n_leaves", "n_encoded_chars", "n_reencoded_chars")
 _RESULT = pa.struct([*[(c, pa.int64()) for c in _LONGS], ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32())), ("text_edited", pa.string())])
 _CUT = re.compile(r"(?<=\S)[ \n]")
-_CELL = re.compile(r"(?<=\S)(?= )")
-_CELL_CHARS, _CELLS = 40, 200_000
 _encodings: dict[str, object] = {}
 
 
 def default_ranks() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return require("public_tokenizers").path("byte_bpe_50k.tiktoken")
 
 
 def encoding(path: str):
     """The encoding of a rank file; read once a worker."""
     if path not in _encodings:
-        import tiktoken
-
+        tiktoken = require("tiktoken")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -174,34 +167,10 @@ class TokenTree:
         return after is None or (after in " \n" and not middle[-1].isspace())
 
 
-class _Cells(dict):
-    """Token counts of cells; those of short ones are kept."""
-
-    def __init__(self, enc) -> None:
-        self.encode = enc.encode_ordinary
-
-    def __missing__(self, cell: str) -> int:
-        n = len(self.encode(cell))
-        if len(cell) <= _CELL_CHARS:
-            if len(self) >= _CELLS:
-                self.clear()
-            self[cell] = n
-        return n
-
-
-_cells: dict[str, _Cells] = {}
-
-
 def counter(path: str):
-    """A function from texts to their token counts; one table of cells a worker."""
-    if path not in _cells:
-        _cells[path] = _Cells(encoding(path))
-    get = _cells[path].__getitem__
-
-    def count(texts: list[str]) -> list[int]:
-        return [sum(map(get, _CELL.split(x))) if x else 0 for x in texts]
-
-    return count
+    """A function from texts to their token counts."""
+    encode = encoding(path).encode_ordinary
+    return lambda texts: [len(encode(x)) for x in texts]
 
 
 def n_tokens(text: Column, *, ranks_path: str | None = None) -> Column:

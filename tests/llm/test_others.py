@@ -241,14 +241,6 @@ def test_a_tree_from_stored_leaves(spark, count):
     assert got[2].text_edited == "new" and got[3].text_edited == "short textnew" and got[5].n_tokens == got[6].n_tokens == count("abc")
 
 
-def test_counts_by_cells(count, monkeypatch):
-    monkeypatch.setattr(token_count, "_CELLS", 50)
-    counter = token_count.counter(token_count.default_ranks())
-    rng = random.Random(11)
-    texts = [random_text(rng, rng.randint(0, 400)) for _ in range(300)] + ["x" * 1000, "", " ", "a  b", " a\n b"]
-    assert counter(texts) == [count(t) for t in texts]
-
-
 def test_gathered_edits(spark, count):
     docs = spark.createDataFrame([(1, "one two three"), (2, "x")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 2, 0, 3, "ONE"), (1, 1, 4, 3, "2")], "doc_id long, edit_no int, start long, n_delete long, insert string")
