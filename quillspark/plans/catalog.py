@@ -226,15 +226,8 @@ def _place(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text)::INTEGER AS length, row_number() OVER (ORDER BY length(text), doc_id) AS pos FROM documents ORDER BY pos LIMIT 50")
-def id_lengths_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 shortest, in order."""
-    rows = docs(spark, sf_dir).select("id", text.length(F.col("page_content")).alias("length"), ORD).orderBy("length", ORD).limit(50)
-    return _place(rows, "length", ORD).select("id", "length", F.col("pos").cast("long").alias("pos"))
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text)::INTEGER AS length, row_number() OVER (ORDER BY length(text), doc_id) AS pos FROM documents")
-def id_lengths_sorted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def id_lengths_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in order."""
     return _sorted(ordering.document_id_lengths(docs(spark, sf_dir), sort=True), "length")
 
@@ -474,49 +467,27 @@ def copy_ids_to_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- formatting ------------------------------------------------------------
-_TOP = f"(SELECT *, row_number() OVER (ORDER BY o) AS i FROM {_DOCS} WHERE o < 10)"
-
-
-@query(f"""SELECT string_agg('<document id="' || i || '">' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || chr(10) || page_content || chr(10) || '</document>', chr(10) || chr(10) ORDER BY i) AS text FROM {_TOP}""")
-def format_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatting.format_documents(ordering.first_n(docs(spark, sf_dir), 10), Metadata.columns("lang", "source"))
-
-
-@query(f"""SELECT string_agg('## Document ' || i || chr(10) || chr(10) || '- lang: ' || lang || chr(10) || '- source: ' || source || chr(10) || chr(10) || page_content, chr(10) || chr(10) ORDER BY i) AS text FROM {_TOP}""")
-def format_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatting.format_documents(ordering.first_n(docs(spark, sf_dir), 10), Metadata.columns("lang", "source"), "markdown")
-
-
-@query(f"""SELECT '[' || chr(10) || string_agg('  {{' || chr(10) || '    "id": ' || i || ',' || chr(10) || '    "metadata": {{' || chr(10) || '      "lang": "' || lang || '",' || chr(10) || '      "source": "' || source || '"' || chr(10) || '    }},' || chr(10) || '    "content": ' || CAST(to_json(page_content) AS VARCHAR) || chr(10) || '  }}', ',' || chr(10) ORDER BY i) || chr(10) || ']' AS text FROM {_TOP}""")
-def format_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatting.format_documents(ordering.first_n(docs(spark, sf_dir), 10), Metadata.columns("lang", "source"), "json")
-
-
-#: The three above are of ten documents; these format all, a hundred ids to a row.
+#: All documents, a hundred ids to a text, numbered anew in each.
 _PARTS = f"(SELECT *, o // 100 AS part, row_number() OVER (PARTITION BY o // 100 ORDER BY o) AS i FROM {_DOCS})"
 
 
-def _in_parts_sql(name: str) -> str:
-    return ORACLE_SQL[name].replace("SELECT ", "SELECT part, ", 1).replace(_TOP, _PARTS) + " GROUP BY part"
-
-
 def _in_parts(spark: SparkSession, sf_dir: str, output_format: str) -> DataFrame:
     rows = docs(spark, sf_dir).withColumn("part", F.expr(f"{ORD} div 100"))
     return formatting.format_documents(rows, Metadata.columns("lang", "source"), output_format, by=["part"])
 
 
-@query(_in_parts_sql("format_xml"))
-def format_xml_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""SELECT part, string_agg('<document id="' || i || '">' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || chr(10) || page_content || chr(10) || '</document>', chr(10) || chr(10) ORDER BY i) AS text FROM {_PARTS} GROUP BY part""")
+def format_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_parts(spark, sf_dir, "xml")
 
 
-@query(_in_parts_sql("format_markdown"))
-def format_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""SELECT part, string_agg('## Document ' || i || chr(10) || chr(10) || '- lang: ' || lang || chr(10) || '- source: ' || source || chr(10) || chr(10) || page_content, chr(10) || chr(10) ORDER BY i) AS text FROM {_PARTS} GROUP BY part""")
+def format_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_parts(spark, sf_dir, "markdown")
 
 
-@query(_in_parts_sql("format_json"))
-def format_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""SELECT part, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "id": ' || i || ',' || chr(10) || '    "metadata": {{' || chr(10) || '      "lang": "' || lang || '",' || chr(10) || '      "source": "' || source || '"' || chr(10) || '    }},' || chr(10) || '    "content": ' || CAST(to_json(page_content) AS VARCHAR) || chr(10) || '  }}', ',' || chr(10) ORDER BY i) || chr(10) || ']' AS text FROM {_PARTS} GROUP BY part""")
+def format_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_parts(spark, sf_dir, "json")
 
 
@@ -620,15 +591,9 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("id"), "n_chars")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 20")
-def declarative_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source and processors from one configuration; one plan."""
-    return _declared(spark, sf_dir).limit(20)
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE lang = 'en' AND n_chars >= 1000")
-def declarative_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the configured steps, with its place."""
+def declarative_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source and processors from one configuration; every row, with its place."""
     return _sorted(_declared(spark, sf_dir), "n_chars")
 
 
@@ -662,13 +627,8 @@ def _recorded(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return store.all().select(field("input"), field("output"), field("checked"))
 
 
-@query("SELECT text AS input, CAST(length(text) AS VARCHAR) AS output, 'yes' AS checked FROM conversations WHERE role = 'system'")
-def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recorded(spark, table(spark, sf_dir, "conversations").where("role = 'system'"))
-
-
 @query("SELECT text AS input, CAST(length(text) AS VARCHAR) AS output, 'yes' AS checked FROM conversations")
-def recorded_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all roles."""
     return _recorded(spark, table(spark, sf_dir, "conversations"))
 
@@ -742,9 +702,11 @@ def accumulated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.accumulated_usage(rows, "doc_id").select("doc_id", "total_input_tokens", "total_output_tokens")
 
 
-@query("SELECT 'a' AS col UNION ALL SELECT 'c'")
+@query("SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS col UNION ALL SELECT 'rare' WHERE EXISTS (FROM documents WHERE doc_id % 97 = 3) UNION ALL SELECT 'shorter' WHERE EXISTS (FROM documents WHERE length(text) < 0)")
 def drop_null_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, None, None), (2, None, "x"), (3, None, None)], "a int, b string, c string")
+    """The documents with three more columns, null everywhere, nearly everywhere and everywhere."""
+    more = {"nothing": F.lit(None).cast("string"), "rare": F.when(F.col("doc_id") % 97 == 3, "x"), "shorter": F.when(F.length("text") < 0, 1)}
+    rows = table(spark, sf_dir, "documents").withColumns(more)
     return spark.createDataFrame([(c,) for c in frames.drop_null_columns(rows).columns], "col string")
 
 

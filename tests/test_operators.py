@@ -337,7 +337,7 @@ def test_vectors_and_frames(spark):
     assert [c.page_content for c in chunks] == ["abcd", "defg", "ghij"]
 
 
-@pytest.mark.parametrize("name", ["format_xml_all", "format_markdown_all", "format_json_all"])
+@pytest.mark.parametrize("name", ["format_xml", "format_markdown", "format_json"])
 def test_every_document_is_formatted(spark, name):
     sf = "/root/testdata/sf0.001"
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
@@ -348,11 +348,11 @@ def test_every_document_is_formatted(spark, name):
 def test_whole_tables_in_the_catalogue(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n = {name: catalog.QUERIES[name](spark, sf).count() for name in ("id_lengths_sorted_all", "declarative_pipeline_all", "recorded_runs_all")}
+    n = {name: catalog.QUERIES[name](spark, sf).count() for name in ("id_lengths_sorted", "declarative_pipeline", "recorded_runs")}
     assert n == {
-        "id_lengths_sorted_all": docs.count(),
-        "declarative_pipeline_all": docs.where("lang = 'en' and n_chars >= 1000").count(),
-        "recorded_runs_all": spark.read.parquet(f"{sf}/conversations.parquet").count(),
+        "id_lengths_sorted": docs.count(),
+        "declarative_pipeline": docs.where("lang = 'en' and n_chars >= 1000").count(),
+        "recorded_runs": spark.read.parquet(f"{sf}/conversations.parquet").count(),
     }
 
 
