@@ -50,6 +50,7 @@ _U = np.uint64
 _BASE1, _BASE2, _BASE3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _CHUNK_BYTES = 1 << 22
 _CHUNK_WORDS = 1 << 18
+_RUNS_A_TASK = 1000
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 RESULT_DDL = "kept string, n_words long, n_removed long, starts array<int>, ends array<int>"
@@ -306,8 +307,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     runs = materialize(compacted_runs(sources))
     own = sources.where("words is not null").select("doc_id", "anchor", "path", "words").dropDuplicates(["anchor", "path"])
-    theirs = own.select("anchor", F.col("path").alias("src_path"), F.col("words").alias("src_words"))
-    checked = runs.where("doc_id > src").join(own.select("anchor", "path", "words"), ["anchor", "path"]).join(theirs, ["anchor", "src_path"])
+    # a source that many runs name is sent to several tasks
+    runs = runs.where("doc_id > src")
+    hot = runs.groupBy("anchor", "src_path").agg(F.ceil(F.count("*") / _RUNS_A_TASK).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    theirs = own.select("anchor", F.col("path").alias("src_path"), F.col("words").alias("src_words")).join(hot, ["anchor", "src_path"], "left")
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    runs = runs.join(own.select("anchor", "path", "words"), ["anchor", "path"]).join(hot, ["anchor", "src_path"], "left")
+    runs = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path", "lost"), salts).cast("int")).drop("salts")
+    checked = runs.join(theirs, ["anchor", "src_path", "salt"])
     span = F.col("n") + F.lit(window - 1)
     same = F.slice(F.split("words", " "), F.col("lost") + 1, span) == F.slice(F.split("src_words", " "), F.col("src_off") + 1, span)
     parts = checked.where(same).select("doc_id", "anchor", "path", "lost", "n", F.lit(None).cast("binary").alias("sha"))
