@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, json_repair, text
 from ..model import ORD, Metadata, as_documents
 from ..operators import dedup, filters, formatting, frames, ordering, profile, stats, vectors
-from ..session import scratch_dir, ship_package
+from ..session import materialize, scratch_dir, ship_package
 from ..sources import ingest
 from ..sources.store import StoreTable
 from ..streaming import incremental
@@ -341,8 +341,9 @@ def _sorted_sql(where: str, order: str) -> str:
 
 
 def _sorted(df: DataFrame, *also: str) -> DataFrame:
-    """A sorted frame with each row's place: its partition's offset and the row within it."""
-    parts = df.select("id", *also, F.monotonically_increasing_id().alias("_m"))
+    """A sorted frame with each row's place: its partition's offset and the row within it.
+    It is sorted once and written: a second sort may be dealt over other partitions."""
+    parts = materialize(df.select("id", *also, F.monotonically_increasing_id().alias("_m")))
     parts = parts.select("id", *also, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
     counts = parts.groupBy("_p").agg(F.count("*").alias("n"))
 

@@ -356,6 +356,24 @@ def test_whole_tables_in_the_catalogue(spark):
     }
 
 
+@pytest.mark.parametrize("name", ["declarative_pipeline"])
+def test_places_do_not_depend_on_partitions(spark, name):
+    """The sort's shuffle has many partitions, of which few of small rows make one."""
+    from .test_entry import compare
+
+    few, size = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = {k: spark.conf.get(k) for k in (few, size, least)}
+    try:
+        for k, v in ((few, "64"), (size, "16k"), (least, "1k"), ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")):
+            spark.conf.set(k, v)
+        compare(spark, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name], "/root/testdata/sf0.1")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+
+
 # -- incremental forms -----------------------------------------------------
 def _parts(spark, n=4000):
     rows = [(f"d{i}", "x" * ((i * 37) % 1013) + str(i % 1900), i % 7, i) for i in range(n)]
