@@ -356,7 +356,7 @@ def test_whole_tables_in_the_catalogue(spark):
     }
 
 
-@pytest.mark.parametrize("name", ["declarative_pipeline", "id_lengths_sorted", "sort_by_key", "sort_by_metadata_asc", "sort_by_metadata_desc"])
+@pytest.mark.parametrize("name", ["declarative_pipeline", "id_lengths_sorted", "sort_by_key", "sort_by_metadata_asc", "sort_by_metadata_desc", "sort_by_metadata_drop_missing"])
 def test_places_do_not_depend_on_partitions(spark, name):
     """The sort's shuffle has many partitions, of which few of small rows make one."""
     from .test_entry import compare
