@@ -14,17 +14,20 @@ Classes are the connected components of the links, named by their smallest id.
    80 words are sampled by their 2-mers, those of up to 24 by single words as well
    (:data:`SCALES`; the ranges overlap by more than the ratio of lengths that a link
    allows, so both texts of a link always share a scale).
-3. Star rounds: a bucket's hub is its smallest node; each node is aligned with its
-   smallest hub, and in ``hub_rounds`` further rounds with the one of its hubs in other
-   components that it shares most buckets with.  A round has at most one pair a node; no pairs are made within a bucket.
-4. Verification: bounds by common words and 3-mers, then the alignment within a band
+3. Star: a bucket's hub is its smallest node; each node is aligned with its smallest hub.
+4. Every other pair that shares a bucket: buckets of one hub are one *family*.  Families whose
+   members are in several components are dealt in blocks of :data:`BLOCK` members; a task compares
+   the profiles (counts of words by bins) of all pairs of different components whose lengths allow a link,
+   and leaves out those whose profiles differ by more edits than a link has.  In
+   ``near_rounds`` rounds each node is aligned with the nearest one that is left, then, after
+   the nearest pair of each two components, every pair that is still left.
+5. Verification: bounds by common words and 3-mers, then the alignment within a band
    of diagonals, widened until it holds the best path or exceeds the limit.
 
-A link is missed if its texts share no bucket, or if in all buckets that they share no
-hub is linked to either.  The first was measured for replaced words at random places: of the links
-of similarity 0.8 a share of 0.90 to 0.99 by length meets in a bucket, at 0.85 above 0.97, at 0.9 above 0.995.  The second takes buckets of texts that have a passage in
-common and nothing else (``tests/llm/test_dedup.py``; the README has what an exact join of
-all members of such buckets finds beyond it).
+So a link is missed only if its texts share no bucket, and no chain of links joins them.  Measured
+for replaced words at random places: of the links of similarity 0.8 a share of 0.90 to
+0.99 by length meets in a bucket, at 0.85 above 0.97, at 0.9 above 0.995.
+Profiles compared grow with the square of a family, rows only with the square of its blocks.
 
 Defined results: null and empty texts, and texts without words, are classes of
 their own; texts of fewer than 5 words are linked to equal ones only; rows of one id
@@ -51,6 +54,10 @@ THRESHOLD = 0.8
 SCALES = ((1, 3, 16, 4, 24), (2, 2, 14, 16, 80), (5, 2, 72, 56, None))
 _U = np.uint64
 _CHUNK = 2048
+#: Bins of a profile are 2 ** _BITS; pairs that are looked at together.
+_BITS, _AT_ONCE = 8, 1 << 18
+#: Members of a bucket that one task compares with those of another such block.
+BLOCK = 1024
 _MAX = np.iinfo(np.uint64).max
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -228,6 +235,93 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_verify_rows(threshold), "a long, b long")
 
 
+# -- the rest of the pairs -----------------------------------------------------------
+def profile_of(words: np.ndarray) -> bytes:
+    """How many words fall into each of some bins, 255 at most."""
+    return np.minimum(np.bincount((_mix(words) >> _U(64 - _BITS)).astype(np.int64), minlength=1 << _BITS), 255).astype(np.uint8).tobytes()
+
+
+def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [words_of(_raw(text)) for text in batch.column("text")]
+        made = [pa.array([len(w) for w in found], pa.int32()), pa.array([profile_of(w) for w in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "n", "profile"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold each group whole; the rows are sorted by group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in own], axis=0))
+        if len(new):
+            cut = int(new[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_pairs(group: np.ndarray, block: np.ndarray, across: np.ndarray, component: np.ndarray, n: np.ndarray, profile: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of all pairs within groups (of which those ``across`` want pairs of
+    different blocks only) that are in different components and may be linked, and the least share
+    of edits.  An edit adds one word to a bin, takes one from another, or both, so a
+    link's profiles differ by no more than its edits.  Rows are sorted by group and n."""
+    at, size = np.arange(len(n)), np.int64(1) << 40
+    most = np.searchsorted(group * size + n, group * size + np.minimum((n + 1e-6) / threshold, size - 1).astype(np.int64), side="right")
+    each = np.maximum(most - at - 1, 0)
+    upto, full, first = np.cumsum(each), profile.sum(axis=1, dtype=np.int64), 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _AT_ONCE, side="right")))
+        count = each[first:last]
+        a = np.repeat(at[first:last], count)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        first = last
+        wanted = (component[a] != component[b]) & ((block[a] != block[b]) | ~across[a])
+        a, b = a[wanted], b[wanted]
+        limit = ((1 - threshold) * n[b] + 1e-9).astype(np.int64)
+        least = np.empty(len(a), np.int64)
+        for k in range(0, len(a), _CHUNK):
+            x, y = a[k : k + _CHUNK], b[k : k + _CHUNK]
+            common = np.minimum(profile[x], profile[y]).sum(axis=1, dtype=np.int64)
+            least[k : k + _CHUNK] = np.maximum(full[x], full[y]) - common
+        may = np.maximum(least, n[b] - n[a]) <= limit
+        yield a[may], b[may], least[may] / np.maximum(n[b[may]], 1)
+
+
+def _pair_rows(threshold: float, nearest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, ["family", "i", "j"]):
+            family, i, j, block, node, component, n = (rows.column(k).to_numpy() for k in ("family", "i", "j", "block", "node", "component", "n"))
+            new = (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            group = np.concatenate(([0], np.cumsum(new)))
+            profile = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(len(n), -1)
+            hubs = [] if nearest else [frozenset(x) for x in rows.column("hubs").to_pylist()]
+            kept: list[tuple[np.ndarray, ...]] = []
+            for a, b, share in near_pairs(group, block, i != j, component, n.astype(np.int64), profile, threshold):
+                if nearest:  # each row's nearest one
+                    kept.append((np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((share, share))))
+                    x, y, z = (np.concatenate(v) for v in zip(*kept, strict=True))
+                    o = np.lexsort((z, x))
+                    o = o[np.concatenate(([True], x[o][1:] != x[o][:-1]))] if len(o) else o
+                    kept = [(x[o], y[o], z[o])]
+                elif len(a):  # a pair of several families is left to the first of them
+                    own = np.array([min(hubs[x] & hubs[y]) == f for x, y, f in zip(a.tolist(), b.tolist(), family[a].tolist(), strict=True)])
+                    yield _pairs(node, component, a[own], b[own], share[own])
+            for x, y, z in kept:
+                yield _pairs(node, component, x, y, z)
+
+    return run
+
+
+def _pairs(node: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
+    made = [pa.array(x, pa.int64()) for x in (node[a], node[b], component[a], component[b])]
+    return pa.RecordBatch.from_arrays([*made[:2], pa.array(share, pa.float64()), *made[2:]], names=["node", "other", "share", "ca", "cb"])
+
+
 # -- components --------------------------------------------------------------------
 def components(links: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """node, component (its smallest node) of the nodes in ``links`` (a, b), by
@@ -259,7 +353,7 @@ def _placed(rows: DataFrame, groups: DataFrame, node: str, out: str) -> DataFram
     return rows.join(own, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce("_c", node)).drop("_n", "_c")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, near_rounds: int = 1) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -287,15 +381,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same_id = sketched.join(of_id, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
     found = materialize(components(first.unionByName(same_id)))
 
-    others = members.where("node != hub").select("node", "hub").withColumn("own", F.col("node"))
-    for _ in range(hub_rounds):
-        apart = _placed(_placed(others, found, "own", "component"), found, "hub", "hub_c").where("component != hub_c")
-        apart = apart.join(tried.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
-        # of its hubs in other components a node takes the one of most buckets
-        pairs = apart.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "hub")).alias("most")).select("node", "most.hub")
-        fresh = materialize(sized(pairs))
+    family = materialize(members.select(F.col("hub").alias("family"), "node").distinct())
+    hubs_of = family.groupBy("node").agg(F.collect_list("family").alias("hubs"))
+    profiles = materialize(own_texts.mapInArrow(_profile_rows, "node long, n int, profile binary").join(hubs_of, "node"))
+
+    def near(nearest: bool) -> DataFrame:
+        """node, other, share, their components: pairs of a family, in different components, that may be linked."""
+        placed = _placed(family, found, "node", "component")
+        mixed = placed.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        rows = placed.join(mixed.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
+        rows = rows.join(profiles.drop("hubs") if nearest else profiles, "node")
+        rows = rows.select("family", "i", "j", "block", "node", "component", "n", "profile", *([] if nearest else ["hubs"]))
+        dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n")
+        return dealt.mapInArrow(_pair_rows(threshold, nearest), "node long, other long, share double, ca long, cb long")
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    for _ in range(near_rounds):
+        best = near(True).groupBy("node").agg(F.min(F.struct("share", "other")).alias("best")).select("node", "best.other")
+        fresh = materialize(untried(best.select(*ends).distinct()))
         found = materialize(_merged(found, verify(fresh, own_texts, threshold)))
         tried = tried.unionByName(fresh)
+    rest = materialize(near(False).select(*ends, "share", "ca", "cb"))
+    two = rest.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("share", "a", "b")).alias("best"))
+    tried = materialize(two.select("best.a", "best.b"))
+    found = materialize(_merged(found, verify(tried, own_texts, threshold)))
+    left = _placed(_placed(rest.select("a", "b", "ca", "cb"), found, "ca", "ca_now"), found, "cb", "cb_now").where("ca_now != cb_now")
+    found = materialize(_merged(found, verify(untried(left.select("a", "b")), own_texts, threshold)))
 
     placed = materialize(_placed(exact.select("node", "name"), found, "node", "component"))
     names = placed.groupBy("component").agg(F.min("name").alias("class_id"))

@@ -223,6 +223,44 @@ def test_large_group_with_chains(spark):
     assert run_classes(spark, rows) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [7, near_dup.BLOCK if hasattr(near_dup, "BLOCK") else 1024])
+def test_every_pair_of_a_bucket_is_decided(spark, monkeypatch, block):
+    """Copies of one text that are about as far from each other as a link allows."""
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    rng, rows = random.Random(3), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for _ in range(12):
+        base = [word() for _ in range(90)]
+        for _ in range(25):
+            own = list(base)
+            for at in rng.sample(range(90), 12):
+                own[at] = word()
+            rows.append((len(rows), " ".join(own)))
+    words = [near_dup.words_of(t) for _, t in rows]
+    name, buckets = list(range(len(rows))), defaultdict(list)
+    for d, w in enumerate(words):
+        for key in near_dup.keys_of(w).tolist():
+            buckets[key].append(d)
+    for a, b in {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}:
+        if name[a] != name[b] and near_dup.aligned(words[a], words[b]):
+            name = [min(name[a], name[b]) if n in (name[a], name[b]) else n for n in name]
+    assert run_classes(spark, rows) == dict(enumerate(name))
+
+
+def test_profiles_never_leave_out_a_link():
+    rng = random.Random(5)
+    for n in (6, 30, 200, 1500):
+        for _ in range(30):
+            a = [f"w{int(rng.expovariate(0.05))}" for _ in range(n)]
+            b = edits(rng, a, rng.randrange(max(1, n // 4)), lambda: f"w{rng.randrange(400)}")
+            pair = sorted((near_dup.words_of(" ".join(x)) for x in (a, b)), key=len)
+            size = np.array([len(x) for x in pair])
+            profile = np.stack([np.frombuffer(near_dup.profile_of(x), np.uint8) for x in pair])
+            zero, own = np.zeros(2, np.int64), np.array([1, 2])
+            found = sum(len(x) for x, _, _ in near_dup.near_pairs(zero, zero, zero > 0, own, size, profile, 0.8))
+            assert found or not near_dup.aligned(*pair)
+
+
 def test_order_counts(spark):
     """Swapped halves keep nearly all shingles and are no copies; 8 of 200 replaced words are."""
     rng = random.Random(8)
