@@ -18,9 +18,9 @@ Classes are the connected components of the links, named by their smallest id.
 4. Every other pair that shares a bucket: buckets of one hub are one *family*.  Families whose
    members are in several components are dealt in blocks of :data:`BLOCK` members; a task compares
    the profiles (counts of words by bins) of all pairs of different components whose lengths allow a link,
-   and leaves out those whose profiles differ by more edits than a link has.  In
-   ``near_rounds`` rounds each node is aligned with the nearest one that is left, then, after
-   the nearest pair of each two components, every pair that is still left.
+   and leaves out those whose profiles differ by more edits than a link has.  Members with pairs that
+   are left go, with their texts, to a task that aligns all of these pairs, nearest first; it leaves out
+   those that its links have joined already, and returns links only, fewer than it has members.
 5. Verification: bounds by common words and 3-mers, then the alignment within a band
    of diagonals, widened until it holds the best path or exceeds the limit.
 
@@ -292,34 +292,73 @@ def near_pairs(group: np.ndarray, block: np.ndarray, across: np.ndarray, compone
         yield a[may], b[may], least[may] / np.maximum(n[b[may]], 1)
 
 
-def _pair_rows(threshold: float, nearest: bool):
+def _near_rows(threshold: float):
+    """The rows that have a pair which this group decides and which may be a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, ["family", "i", "j"]):
-            family, i, j, block, node, component, n = (rows.column(k).to_numpy() for k in ("family", "i", "j", "block", "node", "component", "n"))
+            family, i, j, block, component, n = (rows.column(k).to_numpy() for k in ("family", "i", "j", "block", "component", "n"))
             new = (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             group = np.concatenate(([0], np.cumsum(new)))
             profile = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(len(n), -1)
-            hubs = [] if nearest else [frozenset(x) for x in rows.column("hubs").to_pylist()]
-            kept: list[tuple[np.ndarray, ...]] = []
-            for a, b, share in near_pairs(group, block, i != j, component, n.astype(np.int64), profile, threshold):
-                if nearest:  # each row's nearest one
-                    kept.append((np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((share, share))))
-                    x, y, z = (np.concatenate(v) for v in zip(*kept, strict=True))
-                    o = np.lexsort((z, x))
-                    o = o[np.concatenate(([True], x[o][1:] != x[o][:-1]))] if len(o) else o
-                    kept = [(x[o], y[o], z[o])]
-                elif len(a):  # a pair of several families is left to the first of them
-                    own = np.array([min(hubs[x] & hubs[y]) == f for x, y, f in zip(a.tolist(), b.tolist(), family[a].tolist(), strict=True)])
-                    yield _pairs(node, component, a[own], b[own], share[own])
-            for x, y, z in kept:
-                yield _pairs(node, component, x, y, z)
+            hubs, near = [frozenset(x) for x in rows.column("hubs").to_pylist()], np.zeros(len(n), np.bool_)
+            for a, b, _ in near_pairs(group, block, i != j, component, n.astype(np.int64), profile, threshold):
+                for x, y, f in zip(a.tolist(), b.tolist(), family[a].tolist(), strict=True):
+                    if not (near[x] and near[y]) and _decides(hubs, f, x, y):
+                        near[x] = near[y] = True
+            yield from rows.drop_columns(["profile"]).filter(pa.array(near)).combine_chunks().to_batches()
 
     return run
 
 
-def _pairs(node: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
-    made = [pa.array(x, pa.int64()) for x in (node[a], node[b], component[a], component[b])]
-    return pa.RecordBatch.from_arrays([*made[:2], pa.array(share, pa.float64()), *made[2:]], names=["node", "other", "share", "ca", "cb"])
+def _decides(hubs: list[frozenset[int]], family: int, x: int, y: int) -> bool:
+    """A pair of several families is left to the first of them."""
+    return min(hubs[x] & hubs[y]) == family
+
+
+def group_links(family: int, block: np.ndarray, across: bool, component: np.ndarray, hubs: list[frozenset[int]], words: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Places of the links of a group that join its components: its pairs are aligned, nearest
+    profiles first, but for those that links before have joined.  Rows are sorted by length."""
+    zero, n = np.zeros(len(words), np.int64), np.array([len(w) for w in words], np.int64)
+    profile = np.stack([np.frombuffer(profile_of(w), np.uint8) for w in words])
+    pairs = list(near_pairs(zero, block, np.full(len(n), across), component, n, profile, threshold))
+    if not pairs:
+        return []
+    a, b, share = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(share, kind="stable")
+    root = np.unique(component, return_inverse=True)[1].tolist()
+    top, found = list(range(len(root))), []
+
+    def top_of(x: int) -> int:
+        x = root[x]
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        u, v = top_of(x), top_of(y)
+        if u != v and _decides(hubs, family, x, y) and aligned(words[x], words[y], threshold):
+            top[u] = v
+            found.append((x, y))
+    return found
+
+
+def _link_rows(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, ["family", "i", "j"]):
+            family, i, j, block, node, component = (rows.column(k).to_numpy() for k in ("family", "i", "j", "block", "node", "component"))
+            starts = np.flatnonzero((family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            links: list[tuple[int, int]] = []
+            for first, last in zip([0, *starts.tolist()], [*starts.tolist(), len(node)], strict=True):
+                own = slice(first, last)
+                part = rows.slice(first, last - first)
+                hubs, words = [frozenset(x) for x in part.column("hubs").to_pylist()], [words_of(_raw(t)) for t in part.column("text")]
+                pairs = group_links(int(family[first]), block[own], bool(i[first] != j[first]), component[own], hubs, words, threshold)
+                links += [(first + x, first + y) for x, y in pairs]
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]], pa.int64()), pa.array(node[ends[:, 1]], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 # -- components --------------------------------------------------------------------
@@ -353,7 +392,7 @@ def _placed(rows: DataFrame, groups: DataFrame, node: str, out: str) -> DataFram
     return rows.join(own, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce("_c", node)).drop("_n", "_c")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, near_rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -375,8 +414,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = pairs.select("hub", "node").distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
         return rows.where(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
-    tried = materialize(sized(members.where("node != hub").groupBy("node").agg(F.min("hub").alias("hub"))))
-    first = verify(tried, own_texts, threshold)
+    first = verify(sized(members.where("node != hub").groupBy("node").agg(F.min("hub").alias("hub"))), own_texts, threshold)
     of_id = sketched.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same_id = sketched.join(of_id, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
     found = materialize(components(first.unionByName(same_id)))
@@ -385,34 +423,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs_of = family.groupBy("node").agg(F.collect_list("family").alias("hubs"))
     profiles = materialize(own_texts.mapInArrow(_profile_rows, "node long, n int, profile binary").join(hubs_of, "node"))
 
-    def near(nearest: bool) -> DataFrame:
-        """node, other, share, their components: pairs of a family, in different components, that may be linked."""
-        placed = _placed(family, found, "node", "component")
-        mixed = placed.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rows = placed.join(mixed.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
-        rows = rows.join(profiles.drop("hubs") if nearest else profiles, "node")
-        rows = rows.select("family", "i", "j", "block", "node", "component", "n", "profile", *([] if nearest else ["hubs"]))
-        dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n")
-        return dealt.mapInArrow(_pair_rows(threshold, nearest), "node long, other long, share double, ca long, cb long")
-
-    def untried(pairs: DataFrame) -> DataFrame:
-        return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-
-    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    for _ in range(near_rounds):
-        best = near(True).groupBy("node").agg(F.min(F.struct("share", "other")).alias("best")).select("node", "best.other")
-        fresh = materialize(untried(best.select(*ends).distinct()))
-        found = materialize(_merged(found, verify(fresh, own_texts, threshold)))
-        tried = tried.unionByName(fresh)
-    rest = materialize(near(False).select(*ends, "share", "ca", "cb"))
-    two = rest.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("share", "a", "b")).alias("best"))
-    tried = materialize(two.select("best.a", "best.b"))
-    found = materialize(_merged(found, verify(tried, own_texts, threshold)))
-    left = _placed(_placed(rest.select("a", "b", "ca", "cb"), found, "ca", "ca_now"), found, "cb", "cb_now").where("ca_now != cb_now")
-    found = materialize(_merged(found, verify(untried(left.select("a", "b")), own_texts, threshold)))
+    placed = _placed(family, found, "node", "component")
+    mixed = placed.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = placed.join(mixed.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
+    rows = rows.join(profiles, "node").select("family", "i", "j", "block", "node", "component", "n", "hubs", "profile")
+
+    def by_group(rows: DataFrame) -> DataFrame:
+        return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "n")
+
+    near = by_group(rows).mapInArrow(_near_rows(threshold), "family long, i int, j int, block int, node long, component long, n int, hubs array<long>")
+    links = by_group(materialize(near).join(own_texts, "node")).mapInArrow(_link_rows(threshold), "a long, b long")
+    found = materialize(_merged(found, materialize(links)))
 
     placed = materialize(_placed(exact.select("node", "name"), found, "node", "component"))
     names = placed.groupBy("component").agg(F.min("name").alias("class_id"))

@@ -247,6 +247,26 @@ def test_every_pair_of_a_bucket_is_decided(spark, monkeypatch, block):
     assert run_classes(spark, rows) == dict(enumerate(name))
 
 
+def unlike_texts_of_equal_words(n):
+    """Texts of one passage and the same words in other orders, and a near copy of each tenth."""
+    rng, rows = random.Random(7), []
+    common, others = [f"c{i}" for i in range(40)], [f"o{i}" for i in range(25)]
+    for i in range(n):
+        own = common + rng.sample(others, 25)
+        rows.append((10 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((10 * i + 1, " ".join(edits(rng, own, 6, lambda: f"x{rng.randrange(10**6)}"))))
+    return rows
+
+
+def test_no_table_holds_the_pairs_of_a_family(spark, monkeypatch):
+    """No two of these texts' profiles differ: the rows made grow with the texts, not with their pairs."""
+    rows, sizes, write = unlike_texts_of_equal_words(240), [], near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df: (found := write(df), sizes.append(found.count()))[0])
+    assert run_classes(spark, rows) == {d: d - d % 10 for d, _ in rows}
+    assert max(sizes) <= len(rows) * sum(keys for _, _, keys, _, high in near_dup.SCALES if high is None or high >= 65)
+
+
 def test_profiles_never_leave_out_a_link():
     rng = random.Random(5)
     for n in (6, 30, 200, 1500):
