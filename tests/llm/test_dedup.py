@@ -267,6 +267,17 @@ def test_no_table_holds_the_pairs_of_a_family(spark, monkeypatch):
     assert max(sizes) <= len(rows) * sum(keys for _, _, keys, _, high in near_dup.SCALES if high is None or high >= 65)
 
 
+def test_no_table_of_the_pipeline_holds_the_pairs_of_a_family(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows, sizes, write = unlike_texts_of_equal_words(240), [], near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df: (found := write(df), sizes.append(found.count()))[0])
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [d for d, _ in rows if d % 10 == 0]
+    assert max(sizes) <= len(rows) * sum(keys for _, _, keys, _, high in near_dup.SCALES if high is None or high >= 65)
+
+
 def test_profiles_never_leave_out_a_link():
     rng = random.Random(5)
     for n in (6, 30, 200, 1500):
